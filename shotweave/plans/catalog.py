@@ -23,3 +23,6 @@ def register(name: str, sql: str | None = None):
 
 
 register("flagship_upsample_fidelity", Q.FLAGSHIP_SQL)(lambda spark, sf: flagship(spark, sf, k=Q.K))
+
+# Query groups register themselves on import.
+from shotweave.plans import q_labels  # noqa: E402,F401
