@@ -67,3 +67,14 @@ def stop_words_col() -> Column:
 CLEAN_SQL = ("regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace("
              "regexp_replace({x}, '[’'']', '', 'g'), '[-\\t\\n]', ' ', 'g')), "
              "'[^a-z ]', ' ', 'g'), ' +', ' ', 'g'), '^ ', '')")
+
+# The ASCII whitespace a Python-style strip removes.
+_WS = "[ \\t\\n\\r\\f\\x0B]"
+
+
+def py_strip(text: Column) -> Column:
+    """Strip leading/trailing ASCII whitespace (Spark ``trim`` only removes spaces)."""
+    return F.regexp_replace(text, f"^{_WS}+|{_WS}+$", "")
+
+
+STRIP_SQL = "regexp_replace({x}, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotweave.functions.text import py_strip
+
 # Prompt wording (header, line prefix) and the sweep grid.
 PROMPT_HEADER = "The following sentences belong to the same category '{intent}':"
 LINE_PREFIX = "Example {i}: "
@@ -68,7 +70,7 @@ def upsample(prompts: DataFrame, quota: DataFrame, scaffold: bool = False) -> Da
     return (p.select("domain", "intent", "intent_id", "prompt_id", "_l",
                      F.explode(safe_range(F.col("quota"))).alias("gen_idx"))
             .select("domain", F.lit("upsample").alias("attr"), "intent", "intent_id",
-                    "prompt_id", "gen_idx",
+                    "prompt_id", F.col("gen_idx").cast("long").alias("gen_idx"),
                     F.element_at("_l", (F.col("gen_idx") % F.size("_l") + 1).cast("int"))
                     .alias("text")))
 
@@ -91,7 +93,7 @@ def accept_completions(completions: DataFrame, requests: DataFrame,
     Returns ``(accepted, shortfall)``; ``shortfall`` lists requests that still
     need ``missing`` rows, i.e. the next round's request table.
     """
-    c = (completions.withColumn("text", F.trim("text")).where(F.col("text") != "")
+    c = (completions.withColumn("text", py_strip(F.col("text"))).where(F.col("text") != "")
          .join(requests.select(key, "quota"), key))
     w = Window.partitionBy(key).orderBy("round", "choice_idx")
     accepted = (c.withColumn("accept_rank", F.row_number().over(w))
@@ -112,7 +114,7 @@ def extract_continuation(df: DataFrame, n: int | None = None, key: str = "reques
     k = F.size(F.split(F.col("prompt"), "\n")) - 1
     line = F.element_at(F.split(F.col("output"), "\n"), (k + 1).cast("int"))
     cut = F.length(F.concat(F.lit("Example "), (k - 1).cast("string"), F.lit(": ")))
-    text = F.trim(F.substring(line, cut + 1, 1 << 30))
+    text = py_strip(F.substring(line, cut + 1, 1 << 30))
     out = df.withColumn("text", text).where(F.col("text").isNotNull() & (F.col("text") != ""))
     if n is not None:
         w = Window.partitionBy(key).orderBy(order)
@@ -145,7 +147,7 @@ def resume(plan: DataFrame, done: DataFrame, keys: Sequence[str] = ("domain", "a
 def augment(prompts: DataFrame, quota: DataFrame, modes: Sequence[str] = ("upsample",),
             top_k: int | None = None, top_p: float | None = None,
             eda_rates: float = 0.05, scaffold: bool = False,
-            generator: Callable | None = None) -> DataFrame:
+            generator: Callable | None = None, thesaurus: DataFrame | None = None) -> DataFrame:
     """Union of the requested modes over all domains in one job."""
     if top_k is not None and top_k < 0:
         raise ValueError("top_k must be >= 0")
@@ -157,7 +159,7 @@ def augment(prompts: DataFrame, quota: DataFrame, modes: Sequence[str] = ("upsam
         if m == "upsample":
             parts.append(upsample(prompts, quota, scaffold))
         elif m == "eda":
-            parts.append(eda_domain(prompts, quota, rate=eda_rates, scaffold=scaffold))
+            parts.append(eda_domain(prompts, quota, thesaurus, rate=eda_rates, scaffold=scaffold))
         elif generator is not None:
             parts.append(complete(plan_requests(prompts.join(
                 quota.withColumnRenamed("val_domain", "domain"), "domain")), generator)
