@@ -27,4 +27,4 @@ register("flagship_upsample_fidelity", Q.FLAGSHIP_SQL)(lambda spark, sf: flagshi
 # Query groups register themselves on import.
 from shotweave.plans import q_labels  # noqa: E402,F401
 from shotweave.plans import q_metrics  # noqa: E402,F401
-from shotweave.plans import q_augment, q_eda, q_mix, q_score, q_assemble, q_results, q_review  # noqa: E402,F401
+from shotweave.plans import q_augment, q_eda, q_mix, q_score, q_assemble, q_results, q_review, q_io  # noqa: E402,F401
