@@ -157,3 +157,55 @@ def q_str01(spark, sf):
 
 
 _ = K
+
+
+@register("src09_read_annotations", with_corpus() + """
+, blind AS (
+  SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS line_no, intent AS label,
+         CAST((intent_id + CASE WHEN row_id % 5 = 0 THEN 1 ELSE 0 END) % 3 + 1 AS VARCHAR) AS code
+  FROM corpus WHERE split = 'val')
+SELECT line_no, code, label FROM blind""")
+def q_src09(spark, sf):
+    c = corpus(spark, sf).where(F.col("split") == "val").orderBy("row_id")
+    code = ((F.col("intent_id") + F.when(F.col("row_id") % 5 == 0, 1).otherwise(0)) % 3 + 1).cast("string")
+    ap, lp = scratch_path(spark, "answers"), scratch_path(spark, "labels")
+    c.select(code).write.text(ap)
+    c.select("intent").write.text(lp)
+    return RD.read_annotations(spark, ap + "/part-*", lp + "/part-*").select("line_no", "code", "label")
+
+
+@register("snk02_metrics_json", """
+WITH p AS (
+  SELECT label, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred,
+         CASE WHEN substr(sha1(CAST(vec_id AS VARCHAR)), 1, 1) < 'c' THEN 'train'
+              WHEN substr(sha1(CAST(vec_id AS VARCHAR)), 1, 1) < 'e' THEN 'val' ELSE 'test' END AS split
+  FROM embeddings)
+SELECT split AS config_id, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_rows
+FROM p GROUP BY split""")
+def q_snk02(spark, sf):
+    from shotweave.operators.metrics import accuracy_scores, confusion_counts
+    from shotweave.plans.q_metrics import predictions
+    m = accuracy_scores(confusion_counts(predictions(spark, sf), ("split",)), ("split",))
+    path = scratch_path(spark, "metrics-json")
+    SK.write_metrics_json(m.withColumnRenamed("split", "config_id"), path)
+    back = spark.read.text(path).select(F.explode(F.from_json(
+        "value", "map<string,struct<accuracy:double,n_rows:bigint>>")).alias("config_id", "m"))
+    return back.select("config_id", "m.accuracy", "m.n_rows")
+
+
+@register("snk03_write_sheets")
+def q_snk03(spark, sf):
+    from shotweave.plans.q_review import _rows
+    rows = _rows(spark, sf)
+    path = scratch_path(spark, "sheets")
+    SK.write_sheets(rows, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy("attr", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("snk04_write_or_reuse", with_corpus() + "SELECT split, count(*) AS n_rows FROM corpus GROUP BY split")
+def q_snk04(spark, sf):
+    path = scratch_path(spark, "plot-frame")
+    df = corpus(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    SK.write_or_reuse(spark, df, path)
+    return SK.write_or_reuse(spark, df, path)  # second call reads the stored frame back

@@ -229,3 +229,31 @@ def q_fs07(spark, sf):
 
 
 _ = draw  # re-exported for callers building their own keyed orders
+
+
+@register("lbl02_label_list", C + """
+SELECT intent, CAST(row_number() OVER (ORDER BY n DESC, intent) - 1 AS INTEGER) AS intent_id
+FROM (SELECT intent, count(*) AS n FROM corpus GROUP BY intent) t""")
+def q_lbl02(spark, sf):
+    from shotweave.session import MAX_CLASSES
+    names = [r[0] for r in corpus(spark, sf).groupBy("intent").count()
+             .orderBy(F.desc("count"), "intent").limit(MAX_CLASSES + 1).collect()]
+    return L.label_dictionary_from_list(spark, names)
+
+
+@register("lbl06_domain_map_rows", C + """
+SELECT domain, intent, CAST(row_number() OVER (ORDER BY domain, intent) - 1 AS INTEGER) AS pos
+FROM (SELECT DISTINCT domain, intent FROM corpus) t""")
+def q_lbl06(spark, sf):
+    from shotweave.session import MAX_CLASSES
+    pairs = (corpus(spark, sf).select("domain", "intent").distinct().orderBy("domain", "intent")
+             .limit(MAX_CLASSES + 1).collect())
+    declared: dict = {}
+    for d, i in pairs:
+        declared.setdefault(d, []).append(i)
+    return L.domain_map_rows(spark, declared)
+
+
+@register("lbl08_single_domain", C + "SELECT row_id, 'banking' AS domain FROM corpus")
+def q_lbl08(spark, sf):
+    return corpus(spark, sf).select("row_id", L.single_domain("banking").alias("domain"))
