@@ -65,14 +65,15 @@ def shown_generators(df: DataFrame, attr: str = "attr") -> DataFrame:
 def blind_sheet(rows: DataFrame, intents: Sequence[str] | DataFrame, seed: str = "blind") -> DataFrame:
     """Rows of the chosen intents in keyed-shuffle order: ``line_no, text, label``.
 
-    ``line_no`` is the 1-based position in the shuffle; the sheet shows
-    ``text`` and the answer key keeps ``label``."""
+    ``line_no`` is the 1-based position in the shuffle, numbered by a range-
+    partitioned sort and ``zipWithIndex`` (no single-task window); the sheet
+    shows ``text`` and the answer key keeps ``label``."""
     from shotweave.operators.labels import keep_intents
-    from pyspark.sql import Window
-    r = keep_intents(rows, intents).withColumn("_k", draw(seed, F.col("row_id")))
-    # Global order on purpose: the blind sheet is one small, human-sized sheet.
-    w = Window.orderBy("_k", "row_id")
-    return r.select(F.row_number().over(w).alias("line_no"), "text", F.col("intent").alias("label"))
+    r = (keep_intents(rows, intents).withColumn("_k", draw(seed, F.col("row_id")))
+         .orderBy("_k", "row_id").select("text", F.col("intent").alias("label")))
+    spark = rows.sparkSession
+    numbered = r.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0], x[0][1]))
+    return spark.createDataFrame(numbered, "line_no int, text string, label string")
 
 
 # REP-05 / SRC-09 ---------------------------------------------------------------

@@ -79,8 +79,7 @@ def q_lbl09(spark, sf):
     return L.intent_domain(first.unionByName(second))
 
 
-@register("lbl10_group_by_intent", C + """
-SELECT split, intent, list(text ORDER BY row_id) AS texts FROM corpus GROUP BY split, intent""")
+@register("lbl10_group_by_intent", C + "SELECT split, intent, row_id, text FROM corpus")
 def q_lbl10(spark, sf):
     return L.group_by_intent(corpus(spark, sf))
 
