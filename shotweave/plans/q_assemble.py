@@ -11,7 +11,7 @@ from shotweave.operators.sample import few_shot_train, synthetic_quota
 from shotweave.operators.score import fit_scorer, pool_generated, relabel
 from shotweave.plans.catalog import register
 from shotweave.plans.q_eda import EDA_DOMAIN_ROWS, DOMAIN_LINES_SQL, rd_sql, ri_sql, rs_sql, select_variants, sr_sql
-from shotweave.plans.q_mix import q_mix06
+from shotweave.plans.q_mix import MIXED_SQL, N_SQL, q_mix06
 from shotweave.plans.sqltext import (K, NB_SQL, POOL_SQL, PROMPTS_SQL, QUOTA_SQL, SEEDS_SQL, UPSAMPLE_SQL,
                                      with_corpus)
 from shotweave.sources.corpus import corpus
@@ -146,7 +146,11 @@ def q_asm11(spark, sf):
     return S.get_split(_full_en(spark, sf), "full_test")
 
 
-@register("asm06_few_pure_mixed")
+@register("asm06_few_pure_mixed", MIXED_SQL + f"""
+SELECT 'train' AS split, text, label_vec FROM mixed
+UNION ALL
+SELECT split, text, list_transform(range({N_SQL}), lambda i: CASE WHEN i = intent_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+FROM corpus WHERE split IN ('val', 'test')""")
 def q_asm06(spark, sf):
     c = corpus(spark, sf)
     oos = _oos(c)

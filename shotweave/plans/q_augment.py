@@ -188,7 +188,7 @@ def echo_generator(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["domain", "intent", "intent_id", "prompt_id", "gen_idx", "text"])
 
 
-@register("aug19_complete_hook")
+@register("aug19_complete_hook", GEN + "SELECT domain, intent, intent_id, prompt_id, gen_idx, text FROM gen")
 def q_aug19(spark, sf):
     c, p = prompts_of(spark, sf)
     req = A.plan_requests(p.join(synthetic_quota(c).withColumnRenamed("val_domain", "domain"), "domain"))

@@ -193,7 +193,8 @@ def q_snk02(spark, sf):
     return back.select("config_id", "m.accuracy", "m.n_rows")
 
 
-@register("snk03_write_sheets")
+@register("snk03_write_sheets", __import__("shotweave.plans.q_review", fromlist=["ROWS_SQL"]).ROWS_SQL + """
+SELECT attr, regexp_replace(sheet, '[/<>]', '_', 'g') AS sheet, count(*) AS n_rows FROM rrows GROUP BY ALL""")
 def q_snk03(spark, sf):
     from shotweave.plans.q_review import _rows
     rows = _rows(spark, sf)

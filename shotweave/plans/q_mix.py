@@ -153,15 +153,21 @@ def q_mix05(spark, sf):
     return out.select("row_key", F.transform("label_vec", lambda x: F.round(x, 9)).alias("label_vec"))
 
 
-@register("mix06_mix_dataset", COMP_SQL + SEEDS_SQL.format(k=K) + f"""
+MIXED_SQL = COMP_SQL + SEEDS_SQL.format(k=K) + f"""
 , m AS (SELECT row_key, map_from_entries(list({{'key': label_id, 'value': p}})) AS m FROM norm GROUP BY row_key)
 , soft AS (SELECT row_key, list_transform(range({N_SQL}), lambda i: round(coalesce(m.m[i], 0.0), 9)) AS label_vec FROM m)
-SELECT 'gold' AS origin, text, list_transform(range({N_SQL}), lambda i: CASE WHEN i = intent_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS label_vec FROM seeds
-UNION ALL
-SELECT 'mixed', l.gen_text, s.label_vec FROM labelled l JOIN soft s ON s.row_key = l.request_id
-UNION ALL
-SELECT 'oos', text, list_transform(range({N_SQL}), lambda i: CASE WHEN i = intent_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-FROM corpus WHERE intent = 'oos' AND split = 'train'""")
+, mixed AS (
+  SELECT 'gold' AS origin, text, list_transform(range({N_SQL}), lambda i: CASE WHEN i = intent_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS label_vec FROM seeds
+  UNION ALL
+  SELECT 'mixed', l.gen_text, s.label_vec FROM labelled l JOIN soft s ON s.row_key = l.request_id
+  UNION ALL
+  SELECT 'oos', text, list_transform(range({N_SQL}), lambda i: CASE WHEN i = intent_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+  FROM corpus WHERE intent = 'oos' AND split = 'train'
+)
+"""
+
+
+@register("mix06_mix_dataset", MIXED_SQL + "SELECT * FROM mixed")
 def q_mix06(spark, sf):
     n = label_dictionary(base_rows(spark, sf)).count()
     c = corpus(spark, sf)
