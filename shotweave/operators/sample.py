@@ -91,26 +91,34 @@ def train_class_sizes(corpus: DataFrame, oos: str = "oos") -> DataFrame:
             .groupBy("intent", "domain").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def synthetic_quota(corpus: DataFrame, oos: str = "oos",
-                    domains: list[str] | None = None) -> DataFrame:
+def _median(sorted_arr) -> F.Column:
+    """Interpolated median of a sorted numeric array (null when empty)."""
+    n = F.size(sorted_arr)
+    lo = F.element_at(sorted_arr, F.floor((n + 1) / 2).cast("int"))
+    hi = F.element_at(sorted_arr, F.floor(n / 2 + 1).cast("int"))
+    return F.when(n > 0, F.when(n % 2 == 1, lo.cast("double")).otherwise((lo + hi) / 2.0))
+
+
+def synthetic_quota(corpus: DataFrame, oos: str = "oos", domains: list[str] | None = None) -> DataFrame:
     """Per held-out domain: int(median of the M-train class sizes).
 
-    Falls back to the median over all base-train classes when M is empty.
-    Works on the (classes-sized) count table only.
+    Falls back to the median over all base-train classes when M is empty. The
+    class-size table (one entry per class, bounded) is gathered into a single
+    row and each domain's median is taken with array functions: no driver
+    round trip and no join.
     """
     sizes = train_class_sizes(corpus, oos)
-    inscope = sizes.where(F.col("intent") != F.lit(oos))
-    if domains is None:
-        domains = bounded_values(inscope, "domain")
-    doms = F.array(*[F.lit(d) for d in domains])
-    per_dom = (inscope.withColumn("val_domain", F.explode(doms))
-               .where(F.col("val_domain") != F.col("domain"))
-               .groupBy("val_domain").agg(F.median("cnt").alias("m")))
-    base = sizes.select(F.median("cnt")).scalar()  # scalar subquery, one value
-    all_doms = inscope.select(F.col("domain").alias("val_domain")).distinct()
-    return (all_doms.join(per_dom, "val_domain", "left")
-            .select("val_domain",
-                    F.floor(F.coalesce(F.col("m"), base)).cast("long").alias("quota")))
+    one = sizes.agg(F.collect_list(F.struct(F.col("domain"), F.col("cnt"), (F.col("intent") == F.lit(oos))
+                                            .alias("is_oos"))).alias("all"))
+    ins = F.filter("all", lambda x: ~x["is_oos"])
+    doms = F.array_distinct(F.transform(ins, lambda x: x["domain"]))
+    if domains is not None:
+        doms = F.array(*[F.lit(d) for d in domains])
+    per = one.select("all", F.explode(doms).alias("val_domain"))
+    m_sizes = F.array_sort(F.transform(F.filter("all", lambda x: ~x["is_oos"] & (x["domain"] != F.col("val_domain"))),
+                                       lambda x: x["cnt"]))
+    base = F.array_sort(F.transform("all", lambda x: x["cnt"]))
+    return per.select("val_domain", F.floor(F.coalesce(_median(m_sizes), _median(base))).cast("long").alias("quota"))
 
 
 # FS-06 ---------------------------------------------------------------------

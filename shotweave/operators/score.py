@@ -30,6 +30,7 @@ class NaiveBayesModel:
     class_stats: DataFrame   # intent_id, intent, n_rows, n_tokens, log_prior, log_denom
     token_counts: DataFrame  # token, intent_id, cnt
     vocab_size: Column       # scalar subquery
+    _arrays: tuple | None = None
 
 
 # PRD-11 ----------------------------------------------------------------------
@@ -43,7 +44,7 @@ def fit_scorer(train: DataFrame, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
     t = tokenize(train.select("text", "intent_id", "intent"), limit=limit)
     toks = t.select("intent_id", F.explode("tokens").alias("token"))
     token_counts = toks.groupBy("token", "intent_id").agg(F.count(F.lit(1)).alias("cnt"))
-    vocab = toks.select(F.count_distinct("token")).scalar()
+    vocab = token_counts.select(F.count_distinct("token")).scalar()
     total = t.select(F.count(F.lit(1))).scalar()
     stats = (t.groupBy("intent_id", "intent")
              .agg(F.count(F.lit(1)).alias("n_rows"),
@@ -54,7 +55,11 @@ def fit_scorer(train: DataFrame, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
 
 
 def _class_arrays(model: NaiveBayesModel):
-    """Per-class vectors as literals: bounded by the number of classes (checked)."""
+    """Per-class vectors as literals: bounded by the number of classes (checked).
+
+    Collected once per fitted model and reused by every scoring call."""
+    if model._arrays is not None:
+        return model._arrays
     rows = (model.class_stats.select("intent_id", "intent", "log_prior", "log_denom")
             .orderBy("intent_id").limit(MAX_CLASSES + 1).collect())
     if len(rows) > MAX_CLASSES:
@@ -63,7 +68,8 @@ def _class_arrays(model: NaiveBayesModel):
     names = F.array(*[F.lit(r[1]) for r in rows])
     lp = F.array(*[F.lit(float(r[2])) for r in rows])
     ld = F.array(*[F.lit(float(r[3])) for r in rows])
-    return ids, names, lp, ld
+    model._arrays = (ids, names, lp, ld)
+    return model._arrays
 
 
 # PRD-03 ----------------------------------------------------------------------
