@@ -54,6 +54,22 @@ def fit_scorer(train: DataFrame, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
     return NaiveBayesModel(stats, token_counts, vocab)
 
 
+def fit_scorer_table(spark, name: str, inputs: list[str], train_fn, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
+    """Fit once per input version and keep the model as two tables in the shared
+    checkpoint folder (class statistics, token counts by token); later jobs
+    read the tables instead of refitting."""
+    from shotweave.sources.tables import materialized
+    fitted = {}
+
+    def get():
+        if "m" not in fitted:
+            fitted["m"] = fit_scorer(train_fn(), limit)
+        return fitted["m"]
+    stats = materialized(spark, f"{name}-stats", inputs, lambda: get().class_stats)
+    counts = materialized(spark, f"{name}-tokens", inputs, lambda: get().token_counts)
+    return NaiveBayesModel(stats, counts, counts.select(F.count_distinct("token")).scalar())
+
+
 def _class_arrays(model: NaiveBayesModel):
     """Per-class vectors as literals: bounded by the number of classes (checked).
 

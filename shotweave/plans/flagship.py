@@ -14,8 +14,8 @@ from shotweave.operators.augment import build_prompts, upsample
 from shotweave.operators.labels import prefix_domain
 from shotweave.operators.metrics import ROUND
 from shotweave.operators.sample import few_shot_train, synthetic_quota
-from shotweave.operators.score import fit_scorer, pool_generated, relabel
-from shotweave.sources.corpus import corpus
+from shotweave.operators.score import fit_scorer_table, pool_generated, relabel
+from shotweave.sources.corpus import corpus, corpus_inputs, build_corpus
 
 
 def upsample_relabelled(spark: SparkSession, sf_dir: str, k: int = 3,
@@ -24,10 +24,16 @@ def upsample_relabelled(spark: SparkSession, sf_dir: str, k: int = 3,
     seeds = few_shot_train(c, k)
     prompts = build_prompts(seeds, num_ex=k)
     gen = upsample(prompts, synthetic_quota(c), scaffold=scaffold)
-    model = fit_scorer(c.where(F.col("split") == "train"))
+    model = corpus_scorer(spark, sf_dir)
     return relabel(pool_generated(gen, c, attrs=["upsample"]), model)
 
 
+def corpus_scorer(spark: SparkSession, sf_dir: str):
+    """The scorer fitted on the corpus train split, stored as tables per input version."""
+    return fit_scorer_table(spark, "nb50", corpus_inputs(sf_dir),
+                            lambda: corpus(spark, sf_dir).where(F.col("split") == "train"))
+
+
 def flagship(spark: SparkSession, sf_dir: str, k: int = 3, scaffold: bool = False) -> DataFrame:
     rel = upsample_relabelled(spark, sf_dir, k, scaffold)
     r = (rel.withColumn("domain", prefix_domain(F.col("old_intent")))

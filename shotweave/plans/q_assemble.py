@@ -10,6 +10,7 @@ from shotweave.operators.eda import vocabulary_thesaurus
 from shotweave.operators.sample import few_shot_train, synthetic_quota
 from shotweave.operators.score import fit_scorer, pool_generated, relabel
 from shotweave.plans.catalog import register
+from shotweave.plans.flagship import corpus_scorer
 from shotweave.plans.q_eda import EDA_DOMAIN_ROWS, DOMAIN_LINES_SQL, rd_sql, ri_sql, rs_sql, select_variants, sr_sql
 from shotweave.plans.q_mix import MIXED_SQL, N_SQL, q_mix06
 from shotweave.plans.sqltext import (K, NB_SQL, POOL_SQL, PROMPTS_SQL, QUOTA_SQL, SEEDS_SQL, UPSAMPLE_SQL,
@@ -84,7 +85,7 @@ UNION ALL {OOS_TRAIN} UNION ALL {EVAL}""")
 def q_asm05(spark, sf):
     c = corpus(spark, sf)
     oos = _oos(c)
-    rel = relabel(pool_generated(_gen(c), c, ["upsample"]), fit_scorer(c.where(F.col("split") == "train")))
+    rel = relabel(pool_generated(_gen(c), c, ["upsample"]), corpus_scorer(spark, sf))
     return S.assemble("few_pure", "upsample_oracle", c, k=K, oos_id=oos, dataset_oos_id=oos,
                       relabelled=rel, attr="upsample")
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from shotweave.operators.labels import label_dictionary
 from shotweave.operators.score import fit_scorer, relabel
 from shotweave.plans.catalog import register
+from shotweave.plans.flagship import corpus_scorer
 from shotweave.plans.q_results import RUNS_SQL, run_tables
 from shotweave.plans.q_score import RELABELLED, _pool
 from shotweave.plans.sqltext import K, with_corpus
@@ -145,7 +146,7 @@ SINK_SCHEMA = T.StructType([
 @register("str01_incremental_relabel", RELABELLED + "SELECT attr, row_key, old_intent_id, intent_id, intent FROM relabelled")
 def q_str01(spark, sf):
     c, pool = _pool(spark, sf)
-    model = fit_scorer(c.where(F.col("split") == "train"))
+    model = corpus_scorer(spark, sf)
     src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "stream-sink")
     # two arrivals: the generated rows, then the val/test pool
     pool.where(F.col("attr") == "upsample").write.parquet(src + "/batch=0")

@@ -10,6 +10,7 @@ from shotweave.operators import score as P
 from shotweave.operators.augment import build_prompts, upsample
 from shotweave.operators.sample import few_shot_train, synthetic_quota
 from shotweave.plans.catalog import register
+from shotweave.plans.flagship import corpus_scorer
 from shotweave.plans.sqltext import (K, NB_SQL, POOL_SQL, PROMPTS_SQL, QUOTA_SQL, SEEDS_SQL,
                                      UPSAMPLE_SQL, with_corpus)
 from shotweave.sources.corpus import corpus, load_table
@@ -49,7 +50,7 @@ def q_prd02t(spark, sf):
 SELECT row_key, list(score ORDER BY intent_id) AS scores FROM scores WHERE row_key LIKE 'val:%' GROUP BY row_key""")
 def q_prd03(spark, sf):
     c, pool = _pool(spark, sf)
-    m = P.fit_scorer(c.where(F.col("split") == "train"))
+    m = corpus_scorer(spark, sf)
     return P.score_rows(pool.where(F.col("attr") == "val"), m).select("row_key", "scores")
 
 
@@ -68,7 +69,7 @@ def q_prd04(spark, sf):
 @register("prd05_relabel", RELABELLED + "SELECT attr, row_key, old_intent_id, intent_id, intent FROM relabelled")
 def q_prd05(spark, sf):
     c, pool = _pool(spark, sf)
-    m = P.fit_scorer(c.where(F.col("split") == "train"))
+    m = corpus_scorer(spark, sf)
     return P.relabel(pool, m).select("attr", "row_key", "old_intent_id", "intent_id", "intent")
 
 

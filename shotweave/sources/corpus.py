@@ -52,14 +52,18 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("row_id", "text", "intent", "domain", "intent_id", "split"))
 
 
+def corpus_inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
+
+
 def corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """The corpus, written once per input version to the checkpoint folder
     (partitioned by split) and read back; ``materialize=False`` gives the lazy plan."""
     if not materialize:
         return build_corpus(spark, sf_dir)
     from shotweave.sources.tables import materialized
-    inputs = [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
-    df = materialized(spark, "corpus", inputs, lambda: build_corpus(spark, sf_dir), partition_by="split")
+    df = materialized(spark, "corpus", corpus_inputs(sf_dir), lambda: build_corpus(spark, sf_dir),
+                      partition_by="split")
     return df.select("row_id", "text", "intent", "domain", "intent_id", "split")
 
 
