@@ -3,13 +3,15 @@
 Columns: ``row_id LONG, text STRING, intent STRING, domain STRING,
 intent_id INT, split STRING``.
 
-* ``text``: first line of the document.
-* ``intent``: ``'oos'`` when the quality label is 0, else ``lang || '_' || source``.
+* One utterance per line of every document: the whole text is used, line by
+  line (``row_id = doc_id * 1_000_000 + line index``).
+* ``intent``: ``'oos'`` when the document's quality label is 0, else ``lang || '_' || source``.
 * ``domain``: ``'oos'`` or the part of the intent before the first ``_``.
 * ``intent_id``: dense rank of the intent among sorted in-scope names from 0;
   the out-of-scope class gets the last id.
 * ``split``: first hex digit of ``sha1(doc_id)``: below ``c`` train, below ``e``
-  val, else test (a keyed 12/2/2 split that any engine reproduces).
+  val, else test. A document's lines share a split, so near-identical lines of
+  one document never straddle train and test.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.functions.text import first_line
 from shotweave.operators.labels import label_dictionary, prefix_domain
 
 OOS = "oos"
+LINE_KEY = 1_000_000  # row_id = doc_id * LINE_KEY + line index
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +37,11 @@ def split_of(key) -> F.Column:
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("row_id"),
-        first_line(F.col("text")).alias("text"),
+    lines = docs.join(labels, "doc_id", "left").select(
+        "doc_id", "lang", "source", "quality", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+    return lines.select(
+        (F.col("doc_id") * LINE_KEY + F.col("line_idx")).alias("row_id"),
+        F.col("line").alias("text"),
         F.when(F.col("quality") == 0, F.lit(OOS))
         .otherwise(F.concat(F.col("lang"), F.lit("_"), F.col("source"))).alias("intent"),
         split_of(F.col("doc_id")).alias("split"),
@@ -68,14 +72,19 @@ def corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFr
 
 
 CORPUS_SQL = """
-WITH base AS (
-  SELECT d.doc_id AS row_id,
-         split_part(d.text, chr(10), 1) AS text,
-         CASE WHEN l.quality = 0 THEN 'oos' ELSE d.lang || '_' || d.source END AS intent,
-         CASE WHEN substr(sha1(CAST(d.doc_id AS VARCHAR)), 1, 1) < 'c' THEN 'train'
-              WHEN substr(sha1(CAST(d.doc_id AS VARCHAR)), 1, 1) < 'e' THEN 'val'
-              ELSE 'test' END AS split
+WITH lines AS (
+  SELECT d.doc_id, d.lang, d.source, l.quality,
+         unnest(string_split(d.text, chr(10))) AS line,
+         unnest(range(len(string_split(d.text, chr(10))))) AS line_idx
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+), base AS (
+  SELECT doc_id * 1000000 + line_idx AS row_id,
+         line AS text,
+         CASE WHEN quality = 0 THEN 'oos' ELSE lang || '_' || source END AS intent,
+         CASE WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 1, 1) < 'c' THEN 'train'
+              WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 1, 1) < 'e' THEN 'val'
+              ELSE 'test' END AS split
+  FROM lines
 ), dim AS (
   SELECT intent, CAST(row_number() OVER (ORDER BY intent = 'oos', intent) - 1 AS INTEGER) AS intent_id
   FROM (SELECT DISTINCT intent FROM base) t

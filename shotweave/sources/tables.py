@@ -40,6 +40,23 @@ def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return h.hexdigest()[:16]
 
 
+_CODE_KEY: list[str] = []
+
+
+def code_fingerprint() -> str:
+    """Hash of the library's source: a code change never reads a table built by older code."""
+    if not _CODE_KEY:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        h = hashlib.sha1()
+        for dirpath, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(dirpath, f), "rb") as fh:
+                        h.update(f.encode() + b"\0" + fh.read())
+        _CODE_KEY.append(h.hexdigest()[:12])
+    return _CODE_KEY[0]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, os.path.join(path, "_SUCCESS"))
     return fs.exists(p)
@@ -49,7 +66,7 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build: Calla
                  partition_by: str | None = None) -> DataFrame:
     """Read ``name`` for this input version from the checkpoint folder, building it once."""
     key = input_fingerprint(spark, inputs)
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{key}")
+    path = os.path.join(checkpoint_dir(spark), "shotweave", f"{name}-{key}-{code_fingerprint()}")
     if not exists(spark, path):
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         w = build().write.mode("overwrite")
