@@ -72,7 +72,7 @@ def corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFr
 
 
 CORPUS_SQL = """
-WITH lines AS (
+WITH doc_lines AS (
   SELECT d.doc_id, d.lang, d.source, l.quality,
          unnest(string_split(d.text, chr(10))) AS line,
          unnest(range(len(string_split(d.text, chr(10))))) AS line_idx
@@ -84,7 +84,7 @@ WITH lines AS (
          CASE WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 1, 1) < 'c' THEN 'train'
               WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 1, 1) < 'e' THEN 'val'
               ELSE 'test' END AS split
-  FROM lines
+  FROM doc_lines
 ), dim AS (
   SELECT intent, CAST(row_number() OVER (ORDER BY intent = 'oos', intent) - 1 AS INTEGER) AS intent_id
   FROM (SELECT DISTINCT intent FROM base) t
