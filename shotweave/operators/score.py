@@ -151,14 +151,23 @@ def pool_generated(generated: DataFrame, corpus: DataFrame, attrs=None,
 
 
 # PRD-05 ----------------------------------------------------------------------
-def relabel(pool: DataFrame, model: NaiveBayesModel, done: DataFrame | None = None) -> DataFrame:
+def relabel(pool: DataFrame, model: NaiveBayesModel, done: DataFrame | None = None,
+            dedupe: bool = True) -> DataFrame:
     """``attr, row_key, text, old_intent_id, old_intent, intent_id, intent`` for
-    every pooled row; attrs already in ``done`` are skipped (resume)."""
+    every pooled row; attrs already in ``done`` are skipped (resume).
+
+    Generated pools repeat texts (upsampling copies seeds; generators repeat
+    themselves), so by default each distinct text is scored once and the
+    prediction is joined back to every row carrying it."""
     if done is not None:
         pool = pool.join(done.select("attr").distinct(), "attr", "left_anti")
-    p = predict(pool, model, key="row_key")
-    return p.select("attr", "row_key", "text", "old_intent_id", "old_intent",
-                    F.col("pred_id").alias("intent_id"), F.col("pred").alias("intent"))
+    cols = ["attr", "row_key", "text", "old_intent_id", "old_intent"]
+    if dedupe:
+        scored = predict(pool.select("text").distinct(), model, key="text")
+        p = pool.join(scored.select("text", "pred_id", "pred"), "text")
+    else:
+        p = predict(pool, model, key="row_key")
+    return p.select(*cols, F.col("pred_id").alias("intent_id"), F.col("pred").alias("intent"))
 
 
 # PRD-06 ----------------------------------------------------------------------
