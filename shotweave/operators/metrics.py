@@ -119,20 +119,26 @@ def ttr(df: DataFrame, ns: Sequence[int] = (1, 2, 3, 4), group: Sequence[str] =
         text: str = "text") -> DataFrame:
     """Type-token ratio of n-grams built inside each sentence.
 
-    Two aggregation steps (per gram, then per group) so common grams are
-    combined map-side and no distinct set is held in one place.
+    An n-gram is a struct of ``n`` shifted slices zipped together (padded with
+    nulls to the largest ``n``): built-in, code-generated array functions
+    instead of a lambda per gram. Two aggregation steps (per gram, then per
+    group) combine common grams map-side; no distinct set is held in one place.
     """
+    width = max(ns)
     toks = df.select(*group, ngram_tokens(F.col(text)).alias("_t"))
-    ns_arr = F.array(*[F.lit(int(n)) for n in ns])
-    e = toks.select(*group, "_t", F.explode(ns_arr).alias("n"))
-    starts = F.when(F.size("_t") >= F.col("n"), F.sequence(F.lit(0), F.size("_t") - F.col("n"))) \
-        .otherwise(F.array().cast("array<int>"))
-    grams = e.select(*group, "n", F.explode(F.transform(
-        starts, lambda i: F.array_join(F.slice(F.col("_t"), i + 1, F.col("n")), GRAM_SEP))).alias("g"))
-    per_gram = grams.groupBy(*group, "n", "g").agg(F.count(F.lit(1)).alias("c"))
-    return per_gram.groupBy(*group, "n").agg(
-        F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens")).withColumn(
-        "ttr", F.round(F.col("types") / F.col("tokens"), ROUND))
+    t, size = F.col("_t"), F.size("_t")
+
+    def grams(n: int) -> Column:
+        cnt = F.greatest(size - n + 1, F.lit(0))
+        cols = ([F.array_repeat(F.lit(n), cnt)] + [F.slice(t, k + 1, cnt) for k in range(n)]
+                + [F.array_repeat(F.lit(None).cast("string"), cnt) for _ in range(width - n)])
+        return F.arrays_zip(*cols)
+
+    g = toks.select(*group, F.explode(F.concat(*[grams(int(n)) for n in ns])).alias("g"))
+    per_gram = g.groupBy(*group, "g").agg(F.count(F.lit(1)).alias("c"))
+    return (per_gram.groupBy(*group, F.col("g").getField("0").alias("n"))
+            .agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens"))
+            .withColumn("ttr", F.round(F.col("types") / F.col("tokens"), ROUND)))
 
 
 # MET-14 / UDF-02 ---------------------------------------------------------------
