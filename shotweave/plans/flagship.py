@@ -28,6 +28,14 @@ def upsample_relabelled(spark: SparkSession, sf_dir: str, k: int = 3,
     return relabel(pool_generated(gen, c, attrs=["upsample"]), model)
 
 
+def corpus_thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thesaurus derived from the corpus vocabulary, stored per input version."""
+    from shotweave.operators.eda import vocabulary_thesaurus
+    from shotweave.sources.tables import materialized
+    return materialized(spark, "thesaurus", corpus_inputs(sf_dir),
+                        lambda: vocabulary_thesaurus(corpus(spark, sf_dir)))
+
+
 def corpus_scorer(spark: SparkSession, sf_dir: str):
     """The scorer fitted on the corpus train split, stored as tables per input version."""
     return fit_scorer_table(spark, "nb50", corpus_inputs(sf_dir),

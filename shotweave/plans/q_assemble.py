@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from shotweave.operators import assemble as S
 from shotweave.operators.augment import augment, build_prompts, upsample
-from shotweave.operators.eda import vocabulary_thesaurus
 from shotweave.operators.sample import few_shot_train, synthetic_quota
 from shotweave.operators.score import fit_scorer, pool_generated, relabel
 from shotweave.plans.catalog import register
+from shotweave.plans.flagship import corpus_thesaurus
 from shotweave.plans.flagship import corpus_scorer
 from shotweave.plans.q_eda import EDA_DOMAIN_ROWS, DOMAIN_LINES_SQL, rd_sql, ri_sql, rs_sql, select_variants, sr_sql
 from shotweave.plans.q_mix import MIXED_SQL, N_SQL, q_mix06
@@ -65,7 +65,7 @@ def q_asm03(spark, sf):
     c = corpus(spark, sf)
     oos = _oos(c)
     p = build_prompts(few_shot_train(c, K), K)
-    g = augment(p, synthetic_quota(c), modes=("eda",), thesaurus=vocabulary_thesaurus(c))
+    g = augment(p, synthetic_quota(c), modes=("eda",), thesaurus=corpus_thesaurus(spark, sf))
     return S.assemble("few_pure", "eda", c, k=K, oos_id=oos, dataset_oos_id=oos, generated=g)
 
 
@@ -110,7 +110,7 @@ UNION ALL SELECT attr, text, intent_id FROM eda_rows WHERE domain <> 'oos'""")
 def q_asm09(spark, sf):
     c = corpus(spark, sf)
     p = build_prompts(few_shot_train(c, K), K)
-    g = augment(p, synthetic_quota(c), modes=("upsample", "eda"), thesaurus=vocabulary_thesaurus(c))
+    g = augment(p, synthetic_quota(c), modes=("upsample", "eda"), thesaurus=corpus_thesaurus(spark, sf))
     return S.assemble("full", "intrinsic", c, oos_id=_oos(c), generated=g, attrs=["upsample", "eda"])
 
 
