@@ -213,3 +213,49 @@ SELECT exp_key, dataset, scope, shown, CAST(dp * 1000 + sp * 10 + CASE WHEN show
 FROM x WHERE shown IS NOT NULL AND dp > 0 AND sp > 0""")
 def q_res10(spark, sf):
     return R.publication_table(R.summary(_means(spark, sf)), SCOPES)
+
+
+# Fidelity per dataset for the plot frame, derived from the same events: the
+# mean scaled value of 'view' events stands for the generator's fidelity and
+# that of 'click' events for the validation threshold.
+FID_SQL = f"""
+, fid AS (
+  SELECT {_lst(DATASETS)}[user_id % 4 + 1] AS ds, 'ada_1.0' AS attr, round(avg(value / 500.0), 9) AS fidelity
+  FROM events WHERE event_type = 'view' GROUP BY 1
+  UNION ALL
+  SELECT {_lst(DATASETS)}[user_id % 4 + 1], 'threshold', round(avg(value / 500.0), 9)
+  FROM events WHERE event_type = 'click' GROUP BY 1
+)
+"""
+
+
+def _fidelity(spark, sf):
+    ev = load_table(spark, sf, "events")
+    ds = F.element_at(_arr(DATASETS), (F.col("user_id") % 4 + 1).cast("int")).alias("ds")
+    gen = (ev.where(F.col("event_type") == "view").groupBy(ds)
+           .agg(F.round(F.avg(F.col("value") / 500.0), 9).alias("fidelity")).withColumn("attr", F.lit("ada_1.0")))
+    thr = (ev.where(F.col("event_type") == "click").groupBy(ds)
+           .agg(F.round(F.avg(F.col("value") / 500.0), 9).alias("fidelity")).withColumn("attr", F.lit("threshold")))
+    return gen.unionByName(thr)
+
+
+@register("res11_plot_frame", RUNS_SQL + FID_SQL + """
+, m AS (
+  SELECT string_split(exp_key, '_')[-1] AS temp, dataset AS ds, round(avg(value), 6) AS val_acc_mean,
+         round(stddev_pop(value), 6) AS val_acc_std
+  FROM means
+  WHERE starts_with(exp_key, 'gpt3_ada_') AND scope = 'val'
+    AND metric = CASE WHEN dataset = 'clinc_oos' THEN 'IA' ELSE 'A' END
+  GROUP BY ALL
+)
+SELECT CAST(m.temp AS DOUBLE) AS temp, m.ds, m.val_acc_mean, m.val_acc_std, f.fidelity
+FROM m LEFT JOIN (SELECT ds, string_split(attr, '_')[-1] AS temp, fidelity FROM fid WHERE starts_with(attr, 'ada_')) f
+  USING (ds, temp)""")
+def q_res11(spark, sf):
+    return R.plot_frame(_means(spark, sf), _fidelity(spark, sf), engine="ada")
+
+
+@register("res11_thresholds", FID_SQL.replace(", fid AS (", "WITH fid AS (", 1) + """
+SELECT ds, fidelity AS threshold FROM fid WHERE attr = 'threshold'""")
+def q_res11t(spark, sf):
+    return R.thresholds(_fidelity(spark, sf))
