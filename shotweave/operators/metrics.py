@@ -116,7 +116,7 @@ def ngram_tokens(text: Column) -> Column:
 
 
 def ttr(df: DataFrame, ns: Sequence[int] = (1, 2, 3, 4), group: Sequence[str] = (),
-        text: str = "text") -> DataFrame:
+        text: str = "text", approx_rsd: float | None = None) -> DataFrame:
     """Type-token ratio of n-grams built inside each sentence.
 
     An n-gram is a struct of ``n`` shifted slices zipped together (padded with
@@ -135,6 +135,13 @@ def ttr(df: DataFrame, ns: Sequence[int] = (1, 2, 3, 4), group: Sequence[str] =
         return F.arrays_zip(*cols)
 
     g = toks.select(*group, F.explode(F.concat(*[grams(int(n)) for n in ns])).alias("g"))
+    if approx_rsd is not None:
+        # One pass with mergeable HyperLogLog sketches: no per-gram shuffle, for
+        # corpora where an approximate type count (relative error approx_rsd) is enough.
+        return (g.groupBy(*group, F.col("g").getField("0").alias("n"))
+                .agg(F.approx_count_distinct(F.to_json("g"), approx_rsd).alias("types"),
+                     F.count(F.lit(1)).alias("tokens"))
+                .withColumn("ttr", F.round(F.col("types") / F.col("tokens"), ROUND)))
     per_gram = g.groupBy(*group, "g").agg(F.count(F.lit(1)).alias("c"))
     return (per_gram.groupBy(*group, F.col("g").getField("0").alias("n"))
             .agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("tokens"))

@@ -63,3 +63,13 @@ def test_median_even_count_truncates(spark):
     q = {r.val_domain: r.quota for r in synthetic_quota(c).collect()}
     # held out a: median(4, 9, 3) = 4 ; held out b: median(1, 2, 3) = 2 ; held out c: median(1,2,4,9) = 3
     assert q == {"a": 4, "b": 2, "c": 3}
+
+
+def test_ttr_approx_close_to_exact(spark):
+    from conftest import SF_SMALL
+    from shotweave.sources.corpus import corpus
+    c = corpus(spark, SF_SMALL)
+    exact = {r.n: r.types for r in M.ttr(c).collect()}
+    approx = {r.n: (r.types, r.tokens) for r in M.ttr(c, approx_rsd=0.02).collect()}
+    for n, t in exact.items():
+        assert abs(approx[n][0] - t) <= 0.1 * t
