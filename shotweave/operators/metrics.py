@@ -103,7 +103,15 @@ def classwise(df: DataFrame, by: str, truth: str, guess: str, group: Sequence[st
 
 # MET-11 ----------------------------------------------------------------------
 def pct_text(x: Column) -> Column:
-    return F.format_string("%.2f", x * 100.0)
+    """Percent with two decimals, e.g. ``0.6026 -> '60.26'``.
+
+    The share is scaled to hundredths of a percent and rounded half-up as a
+    binary double first, then printed with integer arithmetic, so every engine
+    prints the same text (``format_string('%.2f')`` rounds the shortest decimal
+    form instead, and engines disagree on ties such as 2.675)."""
+    h = F.round(x * 10000.0).cast("long")
+    return F.concat((h / 100).cast("long").cast("string"), F.lit("."),
+                    F.lpad((h % 100).cast("string"), 2, "0"))
 
 
 # MET-12 / MET-13 ---------------------------------------------------------------

@@ -121,7 +121,11 @@ def q_met10(spark, sf):
                        group=("attr",))
 
 
-@register("met11_pct_text")
+@register("met11_pct_text", PRED_SQL + """
+SELECT label, round(acc * 100.0, 6) AS pct,
+       CAST(h // 100 AS VARCHAR) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') AS pct_text
+FROM (SELECT label, acc, CAST(round(acc * 10000.0) AS BIGINT) AS h FROM (
+  SELECT label, avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS acc FROM p GROUP BY label) a) b""")
 def q_met11(spark, sf):
     p = predictions(spark, sf)
     acc = p.groupBy("label").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("acc"))
