@@ -21,7 +21,7 @@ from shotweave.session import checkpoint_dir
 #: Sides with at most this many rows (of a few longs each) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text handled at once inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

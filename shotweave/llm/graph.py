@@ -5,21 +5,27 @@ reaches (minimum of the neighbours' labels plus pointer jumping, each round
 written to the shared folder).
 
 ``linked_components`` takes rows ``(token, node, n)``: nodes that share a token are
-candidates. It doesn't expand a bucket into its pairs. Rounds of stars check each
-member only against its bucket's most central node, which then leaves the bucket;
-members that the links found so far connect need no more checks. When few pairs in
-different components are left, these are compared too. Parity sketches bound the
-symmetric difference from below and drop most candidates; exact Jaccard decides the
-rest. So every true link either is found or joins two nodes already connected: the
-components are exact.
+candidates. Each member is first checked against two of its bucket's nodes only: the most
+central one and the one with the smallest set. What the links found so far connect needs
+no more checks. Small buckets that are still open are compared pair by pair. The nodes of
+large open buckets hold mostly items that very many sets have (a common passage), and a
+pair of them that is linked either shares one of its rarer items, or has as many frequent
+items in common as the link needs. For the first case such nodes are dealt anew by their
+rarer items, as many as a prefix needs in which two linked sets must meet; for the second,
+pairs of the bucket are compared whose numbers of frequent items suffice for their sizes.
+Parity sketches bound the symmetric difference from below and drop most candidates; exact
+Jaccard decides the rest. Every true link either is found or joins two nodes already
+connected: the components are exact.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import durable
+from shotweave.llm.common import durable, mix64
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,17 +78,20 @@ def near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-#: Pairs left, as a multiple of the rows left, from which on they are compared one by one; star rounds at most.
-PAIRS_PER_ROW, STARS = 16, 4
+#: Open buckets of at most so many nodes are compared pair by pair. Items counted so often are frequent.
+SMALL, FREQUENT = 24, 32
 
 
-def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent: int,
+                      rarity: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(components ``(node, label)``, verified links ``(a, b)``) of nodes that share a token.
 
     ``tokens(token, node, n)``: durable, tokens that several nodes have; n: the set's size.
     ``sketches(node, sketch)``: durable parity sketches, a power of two of bits, at least one for each item.
     ``sets_of(ids)``: the sets ``(node, items)`` of the nodes in ``ids(node)``.
+    ``rarity``: counts by the items' leading bits; its size is a power of two.
     """
+    kind = tokens.schema["node"].dataType.simpleString()
     links = label = None
 
     def check(pairs):
@@ -91,8 +100,9 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
         if near.limit(1).count():
             ids = durable(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ids")
             found = durable(verified(near, durable(sets_of(ids), "sets"), percent), "links")
-            links = found if links is None else links.unionByName(found)
-            label = components(links)
+            if found.limit(1).count():
+                links = found if links is None else links.unionByName(found)
+                label = components(links)
 
     def open_rows(rows):
         """Rows of tokens whose nodes still lie in different components."""
@@ -102,25 +112,68 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
         return (own.withColumn("c1", F.min("comp").over(w)).withColumn("c2", F.max("comp").over(w))
                 .where("c1 != c2").select("token", "node", "n", "score", "comp"))
 
-    score = tokens.groupBy("node").agg((F.count("*") / F.first("n")).alias("score"))
-    rows = durable(open_rows(tokens.join(score, "node")), "open")
-    for _ in range(STARS):
-        hub = rows.groupBy("token").agg(F.max(F.struct("score", "node", "n", "comp")).alias("hub"))
-        stars = rows.join(hub, "token")
-        check(stars.where("comp != hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b"),
-                                                     F.col("n").alias("na"), F.col("hub.n").alias("nb")))
-        rows = durable(open_rows(stars.where("node != hub.node").select("token", "node", "n", "score")), "open")
-        left = rows.groupBy("token").agg(F.count("*").alias("m")).agg(
-            F.sum(F.col("m") * F.col("m")).alias("pairs"), F.sum("m").alias("m")).first()
-        if (left["pairs"] or 0) <= PAIRS_PER_ROW * (left["m"] or 0):
-            break
-    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    if left["m"]:
-        check(x.join(y, "token").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit(percent))
+    def compare(rows):
+        x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("hot").alias("ha"))
+        y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("hot").alias("hb"))
+        enough = (100 + percent) * F.least("ha", "hb") >= percent * (F.col("na") + F.col("nb"))
+        check(x.join(y, "token").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & enough & _sizes_fit(percent))
               .select("a", "b", "na", "nb"))
+
+    def stars(rows):
+        """Checks each node against two of its bucket's; the rows still open, with the bucket's former size ``m``."""
+        hubs = durable(rows.groupBy("token").agg(
+            F.max(F.struct("score", "node", "n", "comp")).alias("mid"), F.min(F.struct("n", "node", "comp")).alias("low"),
+            F.count("*").alias("m")), "hubs")
+        both = rows.join(hubs, "token")
+        check(both.select("node", "n", "comp", F.explode(F.array(
+            F.struct("mid.node", "mid.n", "mid.comp"), F.struct("low.node", "low.n", "low.comp"))).alias("hub"))
+            .where("comp != hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"),
+                                              F.col("hub.n").alias("nb")))
+        left = open_rows(both.where("node != low.node").select("token", "node", "n", "score"))
+        return durable(left.join(hubs.select("token", "m", F.col("low.node").alias("h")), "token"), "open")
+
+    score = tokens.groupBy("node").agg((F.count("*") / F.first("n")).alias("score"))
+    left = stars(durable(open_rows(tokens.join(score, "node")), "open"))
+    # any pair of a small bucket, whatever its items
+    compare(left.where(F.col("m") <= SMALL).withColumn("hot", F.col("n") * 2))
+    large = left.where(F.col("m") > SMALL)
+    nodes = durable(large.select("node", "n", "score").distinct(), "nodes")
+    if nodes.limit(1).count():
+        split = durable(_rare_items(nodes.join(sets_of(nodes.select("node")), "node"), kind, percent, rarity), "split")
+        again = open_rows(split.select(F.explode("rare").alias("token"), "node", "n", "score"))
+        compare(stars(durable(again, "open")).withColumn("hot", F.col("n") * 2))
+        # pairs meet once for each smallest node of their buckets, not for every token
+        by_hub = large.select(F.col("h").alias("token"), "node", "n", "score").distinct()
+        compare(open_rows(by_hub).join(split.where(F.col("hot") * 100 >= F.col("n") * percent).select("node", "hot"), "node"))
     if links is None:
-        links = tokens.sparkSession.createDataFrame([], f"a {tokens.schema['node'].dataType.simpleString()}, "
-                                                        f"b {tokens.schema['node'].dataType.simpleString()}")
+        links = tokens.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
         label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return label, links
+
+
+def _rare_items(sets: DataFrame, kind: str, percent: int, rarity: np.ndarray) -> DataFrame:
+    """Of ``sets(node, n, score, items)``: the number ``hot`` of frequent items and the first ``rare`` others, the rarest
+    first, one more than a linked set can differ by."""
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+    shift = np.uint64(64 - (len(rarity).bit_length() - 1))
+
+    def run(batches):
+        rank = shared.value
+        for b in batches:
+            hot, rare = [], []
+            items = b.column("items")
+            for i, n in enumerate(b.column("n").to_pylist()):
+                x = items[i].values.to_numpy().view(np.uint64)
+                seen = rank[(x >> shift).astype(np.int64)]
+                often = seen >= FREQUENT
+                hot.append(int(often.sum()))
+                x, seen = x[~often], seen[~often]
+                differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+                rare.append(mix64(x[np.lexsort((x, seen))[:differ + 1]]).view(np.int64))
+            at = pa.array(np.cumsum([0] + [len(r) for r in rare]), pa.int32())
+            every = np.concatenate(rare) if rare else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "n", "score")] + [
+                pa.array(hot, pa.int64()), pa.ListArray.from_arrays(at, pa.array(every))], ["node", "n", "score", "hot", "rare"])
+
+    return sets.select("node", "n", "score", "items").mapInArrow(
+        run, f"node {kind}, n long, score double, hot long, rare array<long>")

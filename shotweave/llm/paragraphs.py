@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shotweave.llm.common import chunks, durable, mix64, semi_join, shingles, signed, text_buffer, word_hashes
 from shotweave.llm.graph import linked_components
-from shotweave.llm.parity_join import SEEN, _lists, parity_sketch, set_keys, shared_tokens
+from shotweave.llm.parity_join import SEEN, _lists, frequencies, parity_sketch, set_keys, shared_tokens
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("para", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64()),
                     ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.list_(pa.int64())),
@@ -151,7 +151,8 @@ def paragraph_dedup(docs: DataFrame, min_words: int = 30, shingle: int = 5, perc
         return (paragraph_sets(semi_join(docs, wanted, "doc_id"), min_words, shingle)
                 .join(ids, "node", "left_semi").dropDuplicates(["node"]))
 
-    label, _ = linked_components(shared, sketches, sets_of, percent)
+    freq = frequencies(docs, lambda column: (s for *_, s in each_paragraph(column, min_words, shingle)))
+    label, _ = linked_components(shared, sketches, sets_of, percent, freq)
     named = reps.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     total = named.groupBy("label").agg(F.min("at").alias("first"), F.sum("size").alias("class_size")).where("class_size > 1")
     classes = durable(named.join(total, "label").select("k1", "k2", "first", "class_size"), "classes")

@@ -33,8 +33,9 @@ from shotweave.llm.graph import linked_components
 #: Each size band spans a factor of 4; its sketch has a block for every 2.4 shingles of its largest set,
 #: and 16 for each shingle in the small bands, where chance would leave too few blocks occupied.
 BAND_BITS, FILL, SMALL = 2, 2.4, 128
-#: Frequencies are counted in this many hash buckets (a fixed size) and only order the blocks.
-FREQ_BUCKETS = 1 << 20
+#: Counts of shared shingles are kept in 2 ** FREQ_BITS hash buckets (a fixed size) and only order the blocks.
+FREQ_BITS = 21
+COUNT_BLOCK = 1 << 22  # shingles that a task compares at a time when it looks for shared ones
 SEEN = 1 << 20  # set keys a task remembers so as to emit the blocks of equal sets once
 
 ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
@@ -65,7 +66,7 @@ def block_tokens(items: np.ndarray, freq: np.ndarray, percent: int) -> np.ndarra
     own = band_of(n)
     out = []
     bits = mix64(items ^ np.uint64(0xA5A5A5A5DEADBEEF))  # the bit that a shingle flips
-    common = freq[(items >> np.uint64(44)).astype(np.int64)]
+    common = freq[bucket(items)]
     for band in range(own, band_of(max(n, n * 100 // percent)) + 1):
         blocks = band_blocks(band)
         block = (items >> np.uint64(16)) % np.uint64(blocks)
@@ -97,21 +98,46 @@ def each_set(column, k: int):
             yield i + t, np.unique(sh[at[t]:at[t + 1]])
 
 
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Document counts of shingle-hash buckets, summed over all documents. Only buckets clearly above
-    a task's mean leave the task: the counts order blocks, any order gives the same links."""
+def bucket(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - FREQ_BITS)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame, each) -> np.ndarray:
+    """Counts of the sets' items (``each(column)`` gives the sets of an Arrow text column): of those that a task meets in several different
+    sets, summed over all documents by hash bucket. Items of one set only don't count, so these order first. The counts only order blocks; any order
+    gives the same links."""
 
     def count(batches):
-        total = np.zeros(FREQ_BUCKETS, np.int64)
-        for b in batches:
-            for _, items in each_set(b.column("text"), k):
-                np.add.at(total, (items >> np.uint64(44)).astype(np.int64), 1)
-        hot = np.flatnonzero(total > 12 + 4 * total.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int64()), pa.array(total[hot], pa.int64())], ["bucket", "c"])
+        total = np.zeros(1 << FREQ_BITS, np.int64)
+        held, size, seen = [], 0, set()
+
+        def look():
+            every = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            n = np.diff(np.r_[at, len(every)])
+            np.add.at(total, bucket(every[at[n > 1]]), n[n > 1])
 
-    rows = (docs.select("text").mapInArrow(count, "bucket long, c long")
+        for b in batches:
+            for items in each(b.column("text")):
+                key = (len(items), int(items[:8].sum()), int(items[-8:].sum()))
+                if not len(items) or key in seen:
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(key)
+                held.append(items)
+                size += len(items)
+                if size >= COUNT_BLOCK:
+                    look()
+                    held, size = [], 0
+        if held:
+            look()
+        hot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(total[hot], pa.int64())], ["bucket", "c"])
+
+    rows = (docs.select("text").mapInArrow(count, "bucket int, c long")
             .groupBy("bucket").agg(F.sum("c").alias("c")).toPandas())
-    out = np.zeros(FREQ_BUCKETS, np.int64)
+    out = np.zeros(1 << FREQ_BITS, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
     return out
 
@@ -182,15 +208,16 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
 
     Returns ``doc_id, n_shingles long, component_id long`` (smallest doc_id reachable), one row per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = durable(sketch_rows(docs, frequencies(docs, shingle), shingle, percent), "sketches")
-    of = _classes(docs, rows, shingle, percent)
+    freq = frequencies(docs, lambda column: (s for _, s in each_set(column, shingle)))
+    rows = durable(sketch_rows(docs, freq, shingle, percent), "sketches")
+    of = _classes(docs, rows, freq, shingle, percent)
     # sets that several rows share are joined on the set; the class of any other set is that of its only row
     return rows.select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _classes(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, rows: DataFrame, freq: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """``(k1, k2, component_id)`` of every set. A node is a set, named by its smallest doc_id; where one doc_id
     has rows with different sets, by its key instead."""
     used = rows.where("n > 0 and doc_id is not null")
@@ -213,7 +240,7 @@ def _classes(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> Da
         keyed = keyed_sets(semi_join(docs.where("doc_id is not null"), wanted, "doc_id"), shingle)
         return keyed.join(ids, "node", "left_semi").dropDuplicates(["node"])
 
-    label, _ = linked_components(shared, sketches, sets_of, percent)
+    label, _ = linked_components(shared, sketches, sets_of, percent, freq)
     named = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if not twice:
         return durable(named.select("k1", "k2", F.col("label").alias("component_id")), "classes")
