@@ -135,10 +135,13 @@ def frequencies(docs: DataFrame, each) -> np.ndarray:
         hot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(total[hot], pa.int64())], ["bucket", "c"])
 
-    rows = (docs.select("text").mapInArrow(count, "bucket int, c long")
-            .groupBy("bucket").agg(F.sum("c").alias("c")).toPandas())
-    out = np.zeros(1 << FREQ_BITS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
+    rows = durable(docs.select("text").mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")),
+                   "frequencies")
+    # items that share a bucket by chance add up to the mean: only what stands out from it counts, at every size
+    mean = int(rows.agg(F.sum("c")).first()[0] or 0) // (1 << FREQ_BITS)
+    rows = rows.where(F.col("c") >= 8 + 2 * mean).toPandas()
+    out = np.zeros(1 << FREQ_BITS, np.int32)
+    out[rows["bucket"].to_numpy(np.int64)] = np.minimum(rows["c"].to_numpy(np.int64) - 2 * mean, 1 << 30)
     return out
 
 
