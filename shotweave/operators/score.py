@@ -13,16 +13,17 @@ Common tokens are hot join keys; AQE's skew-join handling splits them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions.arrays import argmax
-from shotweave.functions.text import TOKEN_LIMIT, regex_tokens
+from shotweave.functions.text import regex_tokens
 from shotweave.session import MAX_CLASSES
 
-SCORE_DIGITS = 9  # scores are rounded before argmax so float sum order cannot flip a tie
+SCORE_UNIT = 1e9  # scores are sums of whole 1e-9 parts, so neither their order nor the partitions matter
 
 
 @dataclass
@@ -34,12 +35,12 @@ class NaiveBayesModel:
 
 
 # PRD-11 ----------------------------------------------------------------------
-def tokenize(df: DataFrame, text: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
+def tokenize(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     return df.withColumn("tokens", regex_tokens(F.col(text), limit))
 
 
 # PRD-02 ----------------------------------------------------------------------
-def fit_scorer(train: DataFrame, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
+def fit_scorer(train: DataFrame, limit: int | None = None) -> NaiveBayesModel:
     """Fit on ``(text, intent_id, intent)`` rows; Laplace smoothing."""
     t = tokenize(train.select("text", "intent_id", "intent"), limit=limit)
     toks = t.select("intent_id", F.explode("tokens").alias("token"))
@@ -54,7 +55,7 @@ def fit_scorer(train: DataFrame, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
     return NaiveBayesModel(stats, token_counts, vocab)
 
 
-def fit_scorer_table(spark, name: str, inputs: list[str], train_fn, limit: int = TOKEN_LIMIT) -> NaiveBayesModel:
+def fit_scorer_table(spark, name: str, inputs: list[str], train_fn, limit: int | None = None) -> NaiveBayesModel:
     """Fit once per input version and keep the model as two tables in the shared
     checkpoint folder (class statistics, token counts by token); later jobs
     read the tables instead of refitting."""
@@ -82,36 +83,40 @@ def _class_arrays(model: NaiveBayesModel):
         raise ValueError("too many classes for a dense score vector")
     ids = F.array(*[F.lit(r[0]) for r in rows])
     names = F.array(*[F.lit(r[1]) for r in rows])
-    lp = F.array(*[F.lit(float(r[2])) for r in rows])
-    ld = F.array(*[F.lit(float(r[3])) for r in rows])
+    lp = F.array(*[F.lit(_fixed(r[2])) for r in rows])
+    ld = F.array(*[F.lit(_fixed(r[3])) for r in rows])
     model._arrays = (ids, names, lp, ld)
     return model._arrays
 
 
+def _fixed(x: float) -> int:
+    """Whole 1e-9 parts, halves away from zero as in SQL's round."""
+    return int(math.copysign(math.floor(abs(x) * SCORE_UNIT + 0.5), x))
+
+
 # PRD-03 ----------------------------------------------------------------------
 def score_rows(df: DataFrame, model: NaiveBayesModel, key: str = "row_key",
-               limit: int = TOKEN_LIMIT) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """Adds ``scores ARRAY<DOUBLE>`` (one per trained class, in id order)."""
     ids, names, lp, ld = _class_arrays(model)
     rows = tokenize(df, limit=limit).withColumn("n_tok", F.size("tokens"))
     # token-keyed join; one row per (row, seen class)
     seen = (rows.select(key, F.explode("tokens").alias("token"))
             .join(model.token_counts, "token")
-            .groupBy(key, "intent_id").agg(F.sum(F.log(F.col("cnt") + 1.0)).alias("s")))
+            .groupBy(key, "intent_id").agg(F.sum(F.round(F.log(F.col("cnt") + 1.0) * SCORE_UNIT).cast("long")).alias("s")))
     seen_map = (seen.groupBy(key)
                 .agg(F.map_from_entries(F.collect_list(F.struct("intent_id", "s"))).alias("_seen")))
     scored = rows.join(seen_map, key, "left")
     scores = F.transform(
-        ids, lambda c, i: F.round(
-            lp[i] - F.col("n_tok") * ld[i]
-            + F.coalesce(F.col("_seen")[c], F.lit(0.0)), SCORE_DIGITS))
+        ids, lambda c, i: (lp[i] - F.col("n_tok") * ld[i]
+                           + F.coalesce(F.col("_seen")[c], F.lit(0).cast("long"))) / F.lit(SCORE_UNIT))
     return (scored.withColumn("scores", scores)
             .withColumn("_ids", ids).withColumn("_names", names).drop("_seen", "tokens"))
 
 
 # PRD-04 ----------------------------------------------------------------------
 def predict(df: DataFrame, model: NaiveBayesModel, key: str = "row_key",
-            limit: int = TOKEN_LIMIT) -> DataFrame:
+            limit: int | None = None) -> DataFrame:
     """Adds ``pred_id`` and ``pred`` (first maximum, numpy argmax semantics)."""
     s = score_rows(df, model, key, limit)
     idx = argmax(F.col("scores")) + 1
@@ -120,12 +125,6 @@ def predict(df: DataFrame, model: NaiveBayesModel, key: str = "row_key",
             .drop("_ids", "_names", "n_tok"))
 
 
-def argmax_long(df: DataFrame, key: str, cls: str = "intent_id", score: str = "score") -> DataFrame:
-    """Long-form argmax: per key, the class with the highest score, lowest id on ties."""
-    return df.groupBy(key).agg(
-        F.max_by(F.col(cls), F.struct(F.col(score), -F.col(cls))).alias(cls))
-
-
 # PRD-01 ----------------------------------------------------------------------
 def pool_generated(generated: DataFrame, corpus: DataFrame, attrs=None,
                    oos_domain: str = "oos") -> DataFrame:
@@ -163,8 +162,10 @@ def relabel(pool: DataFrame, model: NaiveBayesModel, done: DataFrame | None = No
         pool = pool.join(done.select("attr").distinct(), "attr", "left_anti")
     cols = ["attr", "row_key", "text", "old_intent_id", "old_intent"]
     if dedupe:
-        scored = predict(pool.select("text").distinct(), model, key="text")
-        p = pool.join(scored.select("text", "pred_id", "pred"), "text")
+        # a digest stands for the text in the joins: no token row or prediction carries it
+        keyed = pool.withColumn("_digest", F.sha2("text", 256))
+        scored = predict(keyed.select("_digest", "text").dropDuplicates(["_digest"]), model, key="_digest")
+        p = keyed.join(scored.select("_digest", "pred_id", "pred"), "_digest")
     else:
         p = predict(pool, model, key="row_key")
     return p.select(*cols, F.col("pred_id").alias("intent_id"), F.col("pred").alias("intent"))

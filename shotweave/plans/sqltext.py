@@ -46,7 +46,7 @@ UPSAMPLE_SQL = """
 
 NB_SQL = """
 , train_tok AS (
-  SELECT intent_id, intent, regexp_extract_all(lower(text), '[a-z]+')[1:50] AS tokens
+  SELECT intent_id, intent, regexp_extract_all(lower(text), '[a-z]+') AS tokens
   FROM corpus WHERE split = 'train'
 ), tok_counts AS (
   SELECT token, intent_id, count(*) AS cnt
@@ -56,14 +56,15 @@ NB_SQL = """
          ln(sum(len(tokens)) + (SELECT count(DISTINCT token) FROM tok_counts)) AS ld
   FROM train_tok GROUP BY intent_id, intent
 ), pool_tok AS (
-  SELECT *, regexp_extract_all(lower(text), '[a-z]+')[1:50] AS tokens FROM pool
+  SELECT *, regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM pool
 ), seen AS (
-  SELECT row_key, intent_id, sum(ln(cnt + 1.0)) AS s
+  SELECT row_key, intent_id, sum(CAST(round(ln(cnt + 1.0) * 1e9) AS BIGINT)) AS s
   FROM (SELECT row_key, unnest(tokens) AS token FROM pool_tok) t JOIN tok_counts USING (token)
   GROUP BY row_key, intent_id
 ), scores AS (
   SELECT p.row_key, st.intent_id, st.intent,
-         round(st.lp - len(p.tokens) * st.ld + coalesce(se.s, 0), 9) AS score
+         CAST(CAST(round(st.lp * 1e9) AS BIGINT) - len(p.tokens) * CAST(round(st.ld * 1e9) AS BIGINT)
+              + coalesce(se.s, 0) AS DOUBLE) / 1e9 AS score
   FROM pool_tok p CROSS JOIN stats st
   LEFT JOIN seen se ON se.row_key = p.row_key AND se.intent_id = st.intent_id
 ), pred AS (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from shotweave.sources.tables import file_system
 
 
 # SNK-01 ------------------------------------------------------------------------
@@ -39,8 +40,7 @@ def write_sheets(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 # SNK-04 ------------------------------------------------------------------------
 def write_or_reuse(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write once (``errorifexists``); if the table already exists, read it back."""
-    try:
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
         df.write.mode("errorifexists").parquet(path)
-    except AnalysisException:
-        pass
     return spark.read.parquet(path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shotweave.session import checkpoint_dir
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -29,7 +29,7 @@ def _fs(spark: SparkSession, path: str):
 def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     h = hashlib.sha1()
     for path in paths:
-        fs, p = _fs(spark, path)
+        fs, p = file_system(spark, path)
         it = fs.listFiles(p, True)
         entries = []
         while it.hasNext():
@@ -58,7 +58,7 @@ def code_fingerprint() -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, os.path.join(path, "_SUCCESS"))
+    fs, p = file_system(spark, os.path.join(path, "_SUCCESS"))
     return fs.exists(p)
 
 
@@ -73,8 +73,8 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build: Calla
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(tmp)
-        fs, src = _fs(spark, tmp)
-        _, dst = _fs(spark, path)
+        fs, src = file_system(spark, tmp)
+        _, dst = file_system(spark, path)
         if not fs.rename(src, dst) and not exists(spark, path):
             raise RuntimeError(f"could not publish {path}")
     return spark.read.parquet(path)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from shotweave.session import checkpoint_dir
+from shotweave.sources.tables import file_system
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,10 +25,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - no sink yet
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):  # no sink yet; any other failure must surface
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def incremental(spark: SparkSession, source: str, source_schema: T.StructType, sink: str,
