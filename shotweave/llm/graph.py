@@ -80,6 +80,8 @@ def near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 #: Open buckets of at most so many nodes are compared pair by pair. Items counted so often are frequent.
 SMALL, FREQUENT = 24, 32
+#: Sets of which rare items are taken at a time.
+RARE_ROWS = 512
 
 
 def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent: int,
@@ -159,21 +161,23 @@ def _rare_items(sets: DataFrame, kind: str, percent: int, rarity: np.ndarray) ->
 
     def run(batches):
         rank = shared.value
-        for b in batches:
-            hot, rare = [], []
-            items = b.column("items")
-            for i, n in enumerate(b.column("n").to_pylist()):
-                x = items[i].values.to_numpy().view(np.uint64)
-                seen = rank[(x >> shift).astype(np.int64)]
-                often = seen >= FREQUENT
-                hot.append(int(often.sum()))
-                x, seen = x[~often], seen[~often]
-                differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
-                rare.append(mix64(x[np.lexsort((x, seen))[:differ + 1]]).view(np.int64))
-            at = pa.array(np.cumsum([0] + [len(r) for r in rare]), pa.int32())
-            every = np.concatenate(rare) if rare else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "n", "score")] + [
-                pa.array(hot, pa.int64()), pa.ListArray.from_arrays(at, pa.array(every))], ["node", "n", "score", "hot", "rare"])
+        for whole in batches:
+            for from_row in range(0, whole.num_rows, RARE_ROWS):  # small batches out
+                b = whole.slice(from_row, RARE_ROWS)
+                hot, rare = [], []
+                items = b.column("items")
+                for i, n in enumerate(b.column("n").to_pylist()):
+                    x = items[i].values.to_numpy().view(np.uint64)
+                    seen = rank[(x >> shift).astype(np.int64)]
+                    often = seen >= FREQUENT
+                    hot.append(int(often.sum()))
+                    x, seen = x[~often], seen[~often]
+                    differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+                    rare.append(mix64(x[np.lexsort((x, seen))[:differ + 1]]).view(np.int64))
+                at = pa.array(np.cumsum([0] + [len(r) for r in rare]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "n", "score")] + [
+                    pa.array(hot, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rare)))],
+                    ["node", "n", "score", "hot", "rare"])
 
     return sets.select("node", "n", "score", "items").mapInArrow(
         run, f"node {kind}, n long, score double, hot long, rare array<long>")

@@ -15,6 +15,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,9 +90,8 @@ def paragraph_rows(docs: DataFrame, min_words: int, k: int, bands: int, rows: in
         seen: set = set()
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            found = list(each_paragraph(b.column("text"), min_words, k))
-            for a in range(0, len(found), 4096):
-                part = found[a:a + 4096]
+            found = each_paragraph(b.column("text"), min_words, k)
+            while part := list(islice(found, 4096)):
                 keys = [set_keys(s) for *_, s in part]
                 new = []
                 for key in keys:
@@ -116,10 +117,11 @@ def paragraph_sets(docs: DataFrame, min_words: int, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [s for *_, s in each_paragraph(b.column("text"), min_words, k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["%d:%d" % set_keys(s) for s in found], pa.string()), _lists([signed(s) for s in found])],
-                ["node", "items"])
+            found = (s for *_, s in each_paragraph(b.column("text"), min_words, k))
+            while part := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["%d:%d" % set_keys(s) for s in part], pa.string()), _lists([signed(s) for s in part])],
+                    ["node", "items"])
 
     return docs.select("text").mapInArrow(run, "node string, items array<long>")
 

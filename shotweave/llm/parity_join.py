@@ -35,8 +35,8 @@ from shotweave.llm.graph import linked_components
 BAND_BITS, FILL, SMALL = 2, 2.4, 128
 #: Counts of shared shingles are kept in 2 ** FREQ_BITS hash buckets (a fixed size) and only order the blocks.
 FREQ_BITS = 21
-COUNT_BLOCK = 1 << 22  # shingles that a task compares at a time when it looks for shared ones
-SEEN = 1 << 20  # set keys a task remembers so as to emit the blocks of equal sets once
+COUNT_BLOCK = 1 << 21  # shingles that a task compares at a time when it looks for shared ones
+SEEN = 1 << 18  # set keys a task remembers so as to emit the blocks of equal sets once
 
 ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
                  ("tokens", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -88,14 +88,20 @@ def set_keys(items: np.ndarray) -> tuple[int, int]:
                 int((mix64(items ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(items))).view(np.int64)))
 
 
-def each_set(column, k: int):
-    """(row, distinct sorted shingle hashes) of every text of an Arrow column."""
+def set_chunks(column, k: int):
+    """(first row, distinct sorted shingle hashes of each text) of every chunk of an Arrow column's texts, so that
+    what is made of a batch goes out chunk by chunk, however long its texts are."""
     data, offsets = text_buffer(column)
     for i, j in chunks(offsets):
         words, first = word_hashes(data, offsets[i:j + 1])
         sh, at = shingles(words, first, k)
-        for t in range(j - i):
-            yield i + t, np.unique(sh[at[t]:at[t + 1]])
+        yield i, [np.unique(sh[at[t]:at[t + 1]]) for t in range(j - i)]
+
+
+def each_set(column, k: int):
+    """The distinct sorted shingle hashes of every text of an Arrow column."""
+    for _, sets in set_chunks(column, k):
+        yield from sets
 
 
 def bucket(items: np.ndarray) -> np.ndarray:
@@ -152,25 +158,25 @@ def sketch_rows(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> Data
     def run(batches):
         table, seen = shared.value, set()
         for b in batches:
-            ids = b.column("doc_id")
-            n, k1, k2, flat, size, sketch = [], [], [], [], [], []
-            for _, items in each_set(b.column("text"), k):
-                key = set_keys(items)
-                n.append(len(items))
-                k1.append(key[0])
-                k2.append(key[1])
-                if len(seen) > SEEN:
-                    seen.clear()
-                new = len(items) > 0 and key not in seen
-                seen.add(key)
-                tokens = block_tokens(items, table, percent) if new else np.zeros(0, np.uint64)
-                flat.append(tokens)
-                size.append(len(tokens))
-                sketch.append(parity_sketch(items) if new else np.zeros(0, np.int64))
-            every = signed(np.concatenate(flat)) if flat else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 list_array(every, np.array(size, np.int64), pa.int64()), _lists(sketch)], schema=ROW)
+            ids = b.column("doc_id").cast(pa.int64())
+            for at, sets in set_chunks(b.column("text"), k):
+                n, k1, k2, flat, size, sketch = [], [], [], [], [], []
+                for items in sets:
+                    key = set_keys(items)
+                    n.append(len(items))
+                    k1.append(key[0])
+                    k2.append(key[1])
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    new = len(items) > 0 and key not in seen
+                    seen.add(key)
+                    tokens = block_tokens(items, table, percent) if new else np.zeros(0, np.uint64)
+                    flat.append(tokens)
+                    size.append(len(tokens))
+                    sketch.append(parity_sketch(items) if new else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                     list_array(signed(np.concatenate(flat)), np.array(size, np.int64), pa.int64()), _lists(sketch)], schema=ROW)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROW_DDL)
 
@@ -193,8 +199,9 @@ def item_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), _lists([signed(s) for _, s in each_set(b.column("text"), k)])], ["node", "items"])
+            for at, sets in set_chunks(b.column("text"), k):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, len(sets)), _lists([signed(s) for s in sets])], ["node", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "node long, items array<long>")
 
@@ -211,7 +218,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
 
     Returns ``doc_id, n_shingles long, component_id long`` (smallest doc_id reachable), one row per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    freq = frequencies(docs, lambda column: (s for _, s in each_set(column, shingle)))
+    freq = frequencies(docs, lambda column: each_set(column, shingle))
     rows = durable(sketch_rows(docs, freq, shingle, percent), "sketches")
     of = _classes(docs, rows, freq, shingle, percent)
     # sets that several rows share are joined on the set; the class of any other set is that of its only row
@@ -256,9 +263,9 @@ def keyed_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = [s for _, s in each_set(b.column("text"), k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["%d:%d" % set_keys(s) for s in sets], pa.string()), _lists([signed(s) for s in sets])],
-                ["node", "items"])
+            for _, sets in set_chunks(b.column("text"), k):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["%d:%d" % set_keys(s) for s in sets], pa.string()), _lists([signed(s) for s in sets])],
+                    ["node", "items"])
 
     return docs.select("text").mapInArrow(run, "node string, items array<long>")
