@@ -177,7 +177,7 @@ def q_src09(spark, sf):
 
 @register("snk02_metrics_json", """
 WITH p AS (
-  SELECT label, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred,
+  SELECT label, CAST((list_position(embedding, list_max(embedding)) - 1) % 10 AS INTEGER) AS pred,
          CASE WHEN substr(sha1(CAST(vec_id AS VARCHAR)), 1, 1) < 'c' THEN 'train'
               WHEN substr(sha1(CAST(vec_id AS VARCHAR)), 1, 1) < 'e' THEN 'val' ELSE 'test' END AS split
   FROM embeddings)

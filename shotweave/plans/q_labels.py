@@ -141,10 +141,10 @@ def q_lbl16(spark, sf):
 
 @register("lbl17_filter_oos_soft", """
 SELECT vec_id, label FROM embeddings
-WHERE list_position(embedding[1:10], list_max(embedding[1:10])) - 1 <> 9""")
+WHERE list_position(embedding, list_max(embedding)) - 1 <> 9""")
 def q_lbl17(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    e = e.withColumn("label_vec", F.slice("embedding", 1, 10))
+    e = e.withColumn("label_vec", F.col("embedding"))
     return L.filter_oos_soft(e, 9).select("vec_id", "label")
 
 
@@ -234,9 +234,8 @@ _ = draw  # re-exported for callers building their own keyed orders
 SELECT intent, CAST(row_number() OVER (ORDER BY n DESC, intent) - 1 AS INTEGER) AS intent_id
 FROM (SELECT intent, count(*) AS n FROM corpus GROUP BY intent) t""")
 def q_lbl02(spark, sf):
-    from shotweave.session import MAX_CLASSES
     names = [r[0] for r in corpus(spark, sf).groupBy("intent").count()
-             .orderBy(F.desc("count"), "intent").limit(MAX_CLASSES + 1).collect()]
+             .orderBy(F.desc("count"), "intent").collect()]
     return L.label_dictionary_from_list(spark, names)
 
 
@@ -244,9 +243,8 @@ def q_lbl02(spark, sf):
 SELECT domain, intent, CAST(row_number() OVER (ORDER BY domain, intent) - 1 AS INTEGER) AS pos
 FROM (SELECT DISTINCT domain, intent FROM corpus) t""")
 def q_lbl06(spark, sf):
-    from shotweave.session import MAX_CLASSES
     pairs = (corpus(spark, sf).select("domain", "intent").distinct().orderBy("domain", "intent")
-             .limit(MAX_CLASSES + 1).collect())
+             .collect())
     declared: dict = {}
     for d, i in pairs:
         declared.setdefault(d, []).append(i)

@@ -1,6 +1,6 @@
 """Registered soft-label mixing queries (MIX-*) with their oracles.
 
-Completions are derived from the corpus val/test rows (three choices per
+Completions are derived from all corpus rows (three choices per
 row: a well-formed pair, a pair with an upper-cased label and trailing text,
 and the bare text), with keyed token log-probabilities.
 """
@@ -63,7 +63,7 @@ COMP_SQL = with_corpus() + LABS_SQL + f"""
          CASE j WHEN 0 THEN ' ' || text || '. (intent: ' || intent || ')'
                 WHEN 1 THEN ' ' || text || '. (intent: ' || upper(intent) || ') and more'
                 ELSE text END AS text
-  FROM corpus, LATERAL (SELECT unnest(range(3)) AS j) x WHERE split IN ('val', 'test')
+  FROM corpus, LATERAL (SELECT unnest(range(3)) AS j) x
 ), parsed AS (
   SELECT *,
     CASE WHEN regexp_matches('Sentence:' || text, '{X.PAIR_PATTERN}')
@@ -93,7 +93,7 @@ COMP_SQL = with_corpus() + LABS_SQL + f"""
 
 
 def completions(spark, sf):
-    c = corpus(spark, sf).where(F.col("split").isin("val", "test"))
+    c = corpus(spark, sf)
     j = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("choice_idx")
     comp = c.select(F.col("row_id").alias("request_id"), "text", "intent", j)
     text = (F.when(F.col("choice_idx") == 0,

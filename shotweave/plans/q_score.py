@@ -47,21 +47,21 @@ def q_prd02t(spark, sf):
 
 
 @register("prd03_score_rows", RELABELLED + """
-SELECT row_key, list(score ORDER BY intent_id) AS scores FROM scores WHERE row_key LIKE 'val:%' GROUP BY row_key""")
+SELECT row_key, list(score ORDER BY intent_id) AS scores FROM scores GROUP BY row_key""")
 def q_prd03(spark, sf):
     c, pool = _pool(spark, sf)
     m = corpus_scorer(spark, sf)
-    return P.score_rows(pool.where(F.col("attr") == "val"), m).select("row_key", "scores")
+    return P.score_rows(pool, m).select("row_key", "scores")
 
 
 @register("prd04_softmax_argmax", """
 SELECT vec_id, list_transform(p, lambda x: round(x, 6)) AS probs,
-       CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred
+       CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred
 FROM (SELECT vec_id, embedding,
-             list_transform(embedding[1:10], lambda x: exp(x - list_max(embedding[1:10]))) AS e FROM embeddings) t,
+             list_transform(embedding, lambda x: exp(x - list_max(embedding))) AS e FROM embeddings) t,
      LATERAL (SELECT list_transform(e, lambda x: x / list_sum(e)) AS p) q""")
 def q_prd04(spark, sf):
-    e = load_table(spark, sf, "embeddings").withColumn("v", F.slice("embedding", 1, 10))
+    e = load_table(spark, sf, "embeddings").withColumn("v", F.col("embedding"))
     return e.select("vec_id", F.transform(softmax(F.col("v")), lambda x: F.round(x, 6)).alias("probs"),
                     argmax(F.col("v")).alias("pred"))
 
