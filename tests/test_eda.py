@@ -131,3 +131,9 @@ def test_no_rows_for_wordless_lines(spark):
     th = spark.createDataFrame(THESAURUS, "word string, synonym string")
     assert E.eda(lines, th, num_aug=4).count() == 0
     _ = F
+
+
+def test_generated_keys_differ_for_thousands_of_variants(spark):
+    from shotweave.operators.eda import _pair
+    rows = spark.range(3 * 5000).selectExpr("cast(id % 3 as int) AS line", "cast(floor(id / 3) as int) AS variant")
+    assert rows.select(_pair(F.col("line"), F.col("variant"))).distinct().count() == 3 * 5000
