@@ -244,9 +244,9 @@ def _classes(docs: DataFrame, rows: DataFrame, freq: np.ndarray, shingle: int, p
                        .groupBy("node").agg(F.first("sketch").alias("sketch")), "parities")
 
     def sets_of(ids):
+        if not twice:  # a node is named by its document
+            return item_sets(semi_join(docs, ids.withColumnRenamed("node", "doc_id"), "doc_id"), shingle).dropDuplicates(["node"])
         wanted = durable(named.join(ids, "node").select(F.col("first_id").alias("doc_id")).distinct(), "wanted")
-        if not twice:
-            return item_sets(semi_join(docs, wanted, "doc_id"), shingle).dropDuplicates(["node"])
         keyed = keyed_sets(semi_join(docs.where("doc_id is not null"), wanted, "doc_id"), shingle)
         return keyed.join(ids, "node", "left_semi").dropDuplicates(["node"])
 
