@@ -73,7 +73,7 @@ def blind_sheet(rows: DataFrame, intents: Sequence[str] | DataFrame, seed: str =
          .orderBy("_k", "row_id").select("text", F.col("intent").alias("label")))
     spark = rows.sparkSession
     numbered = r.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0], x[0][1]))
-    return spark.createDataFrame(numbered, "line_no int, text string, label string")
+    return spark.createDataFrame(numbered, "line_no long, text string, label string")
 
 
 # REP-05 / SRC-09 ---------------------------------------------------------------

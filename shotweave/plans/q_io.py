@@ -164,10 +164,10 @@ _ = K
 , blind AS (
   SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS line_no, intent AS label,
          CAST((intent_id + CASE WHEN row_id % 5 = 0 THEN 1 ELSE 0 END) % 3 + 1 AS VARCHAR) AS code
-  FROM corpus WHERE split = 'val')
+  FROM corpus)
 SELECT line_no, code, label FROM blind""")
 def q_src09(spark, sf):
-    c = corpus(spark, sf).where(F.col("split") == "val").orderBy("row_id")
+    c = corpus(spark, sf).orderBy("row_id")
     code = ((F.col("intent_id") + F.when(F.col("row_id") % 5 == 0, 1).otherwise(0)) % 3 + 1).cast("string")
     ap, lp = scratch_path(spark, "answers"), scratch_path(spark, "labels")
     c.select(code).write.text(ap)

@@ -63,8 +63,8 @@ def q_rep03(spark, sf):
 BLIND_INTENTS_SQL = "(SELECT intent FROM corpus WHERE intent <> 'oos' GROUP BY intent ORDER BY count(*) DESC, intent LIMIT 3)"
 BLIND_SQL = with_corpus() + f"""
 , blind AS (
-  SELECT CAST(row_number() OVER (ORDER BY {draw_sql('blind', 'row_id')}, row_id) AS INTEGER) AS line_no, text, intent AS label
-  FROM corpus WHERE split = 'val' AND intent IN {BLIND_INTENTS_SQL}
+  SELECT CAST(row_number() OVER (ORDER BY {draw_sql('blind', 'row_id')}, row_id) AS BIGINT) AS line_no, text, intent AS label
+  FROM corpus WHERE intent IN {BLIND_INTENTS_SQL}
 )
 """
 
@@ -73,7 +73,7 @@ def _blind(spark, sf):
     c = corpus(spark, sf)
     top = (c.where(F.col("intent") != "oos").groupBy("intent").count()
            .orderBy(F.desc("count"), "intent").limit(3))
-    return c, V.blind_sheet(c.where(F.col("split") == "val"), top)
+    return c, V.blind_sheet(c, top)
 
 
 @register("rep04_blind_sheet", BLIND_SQL + "SELECT * FROM blind")

@@ -161,14 +161,14 @@ SELECT c.row_id,
        'Each example in the following list contains a sentence that belongs to a category. '
        || 'A category is one of the following: ' || (SELECT c FROM cats) || chr(10) || chr(10)
        || (SELECT b FROM body) || chr(10) || 'sentence: ' || c.text || ' ; category:' AS prompt
-FROM corpus c WHERE c.split = 'val' AND c.intent IN {PROMPT_INTENTS_SQL}""")
+FROM corpus c WHERE c.intent IN {PROMPT_INTENTS_SQL}""")
 def q_prd10(spark, sf):
     c = corpus(spark, sf)
     cats = [r[0] for r in c.where(F.col("intent") != "oos").select("intent").distinct()
             .orderBy("intent").limit(3).collect()]
     seeds = few_shot_train(c, K).where(F.col("intent").isin(cats))
     prefix = P.classification_prompt(seeds, cats)
-    rows = c.where((F.col("split") == "val") & F.col("intent").isin(cats))
+    rows = c.where(F.col("intent").isin(cats))
     return rows.select("row_id", P.classification_query(prefix, F.col("text")).alias("prompt"))
 
 
