@@ -46,6 +46,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``label(node, label)`` after further ``links(a, b)``: only the components that these join are
+    labelled anew."""
+    def of(end):
+        return F.coalesce(f"l{end}", end).alias(end)
+
+    ends = (links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+            .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left"))
+    low = components(ends.select(of("a"), of("b")))
+    moved = (label.join(low.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+             .select("node", F.coalesce("top", "label").alias("label")))
+    return durable(moved.unionByName(low.join(label, "node", "left_anti")), "labels")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose sets (``node, items``: distinct longs) have Jaccard >= percent/100, exactly."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
@@ -104,7 +118,7 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
             found = durable(verified(near, durable(sets_of(ids), "sets"), percent), "links")
             if found.limit(1).count():
                 links = found if links is None else links.unionByName(found)
-                label = components(links)
+                label = components(found) if label is None else joined(label, found)
 
     def open_rows(rows):
         """Rows of tokens whose nodes still lie in different components."""

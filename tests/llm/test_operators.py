@@ -275,3 +275,14 @@ def test_pseudo_likelihood_prefers_real_order(spark):
     up["embed"][3, 2] += eps
     slope = (pseudo_lm.forward(up, ids, around)[0].mean() - pseudo_lm.forward(w, ids, around)[0].mean()) / eps
     assert slope == pytest.approx(float(g["embed"][3, 2]), abs=1e-3)
+
+
+def test_components_joined_later(spark):
+    from shotweave.llm.graph import components, joined
+
+    first = [(1, 5), (5, 9), (2, 6), (20, 21)]
+    later = [(9, 6), (30, 2), (40, 41), (5, 1)]
+    label = joined(components(spark.createDataFrame(first, "a long, b long")), spark.createDataFrame(later, "a long, b long"))
+    at_once = components(spark.createDataFrame(first + later, "a long, b long"))
+    assert sorted(map(tuple, label.collect())) == sorted(map(tuple, at_once.collect()))
+    assert dict(map(tuple, label.collect()))[30] == 1
