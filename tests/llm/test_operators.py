@@ -100,6 +100,49 @@ def test_paragraphs(spark):
     assert paragraphs.tune_bands(75) == (16, 3)
 
 
+def test_passages_of_short_lines_and_inside_long_ones(spark):
+    rng = random.Random(15)
+
+    def lines(t, n):
+        w = t.split()
+        return "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+    p, q, whole = text(rng, 60), text(rng, 60), text(rng, 64)
+    long = text(rng, 400)
+    rows = [(1, f"{text(rng, 70)} {p} {text(rng, 70)}"), (2, f"{text(rng, 90)} {p} {text(rng, 50)}"),  # inside long lines
+            (3, lines(f"{text(rng, 33)} {q} {text(rng, 12)}", 9)), (4, f"{text(rng, 8)} {q} {text(rng, 31)}"),  # short lines, a line
+            (5, lines(whole, 7)), (6, lines(whole, 25)),  # a text laid out in two ways
+            (7, lines(long, 11)), (8, lines(edited(rng, long, 0.01), 8)),  # an edited copy
+            (9, text(rng, 200)), (10, "one two " * 200), (None, f"{p} {q}")]
+    got = paragraphs.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = {i: t.split() for i, t in rows if i is not None}
+    for a, b in ((1, 2), (3, 4), (5, 6), (7, 8)):
+        assert {r.class_doc_id for r in got if r.doc_id in (a, b)} == {a}
+        assert {r.removed for r in got if r.doc_id == b} == {True} and not any(r.removed for r in got if r.doc_id == a)
+    assert not any(r.doc_id in (9, None) for r in got)
+    for r in got:
+        own = words[r.doc_id][r.first_word:r.first_word + r.n_words]
+        assert len(own) == r.n_words and r.para == next(
+            i for i in range(500) if sum(len(x.split()) for x in dict(rows)[r.doc_id].split("\n")[:i + 1]) > r.first_word)
+        if r.doc_id == 2 or r.doc_id == 4:
+            assert own == words[r.class_doc_id][r.class_first_word:r.class_first_word + r.n_words]
+    assert sum(r.n_words for r in got if r.doc_id == 6) == 64
+
+
+def test_every_common_passage_holds_a_common_window():
+    rng = np.random.default_rng(16)
+    for _ in range(200):
+        both = rng.integers(1, 1 << 62, 50).astype(np.uint64)
+        found = []
+        for _ in range(2):
+            a, z = (rng.integers(1, 1 << 62, int(rng.integers(0, 90))).astype(np.uint64) for _ in range(2))
+            words = np.r_[a, both, z]
+            run = paragraphs._runs(words, 5)
+            at = paragraphs.window_places(run, np.array([0, len(words)]), 30, 50, 5)
+            found.append({bytes(words[i:i + 30]) for i in at})
+        assert found[0] & found[1]
+
+
 def test_ball_tree(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype(float)
