@@ -145,13 +145,13 @@ def matches(index, words: np.ndarray, first: np.ndarray):
         text = words[first[t]:first[t + 1]]
         own_set = set(own.tolist())
         allowed = int(max_edits * len(own))
-        best, done = None, -(1 << 60)
+        best = done = None
         for s in rows[a:z, 2].tolist():
-            if s <= done + allowed and done >= 0:  # the window compared last covers it
+            if done is not None and s <= done + allowed:  # the window compared last covers it
                 continue
             # windows whose starts lie close are one region
             lo, hi = max(0, s - allowed), min(len(text), s + len(own) + 2 * allowed)
-            done = max(s, 0)
+            done = s
             part = text[lo:hi]
             # an edit takes one distinct word of the item away at most
             if len(own_set.intersection(part.tolist())) < len(own_set) - allowed:

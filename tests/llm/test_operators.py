@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +276,22 @@ def test_decontamination(spark):
     assert decontaminate.recall(30, 6, 100) >= 0.95
 
 
+def test_item_that_repeats_its_opening_at_a_texts_start():
+    rng = random.Random(17)
+
+    def words(t):
+        return next((w, first) for _, w, first in decontaminate.text_words(pa.array([t])))
+
+    for _ in range(20):
+        opening, rest = text(rng, 10), [f"{text(rng, 1)}{i}" for i in range(30)]
+        item = f"{opening} {' '.join(rest)} {opening}"
+        own, first = words(item)
+        index = decontaminate.ItemIndex(np.array([0]), own, first, 8, 0.2).parts()
+        for lead in (0, 1, 4, 9, 30):
+            t = " ".join(f"lead{i}" for i in range(lead)) + f" {item} " + text(rng, 40)
+            assert decontaminate.matches(index, *words(t)) == [(0, 0, 0, lead, 50)]
+
+
 def test_site_lines(spark):
     rows = [(i, f"head {i}\nshared by all \nfoot", f"s{i % 12}") for i in range(24)] + [
         (50, "only\nshared by all", None), (51, None, "s1"), (52, "", "s1"), (53, "shared by all", "s2"), (None, "x\nfoot", "s3")]
