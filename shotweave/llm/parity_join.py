@@ -152,24 +152,27 @@ def frequencies(docs: DataFrame, each) -> np.ndarray:
 
 
 def sketch_rows(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Per document: set size, set key and the blocks it emits (null where the task has emitted this set's before)."""
+    """Per document: set size, set key and the blocks it emits (none where the task has emitted this set's before, or
+    without a doc_id)."""
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches):
         table, seen = shared.value, set()
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64())
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
             for at, sets in set_chunks(b.column("text"), k):
                 n, k1, k2, flat, size, sketch = [], [], [], [], [], []
-                for items in sets:
+                for items, has_id in zip(sets, named[at:at + len(sets)].tolist(), strict=True):
                     key = set_keys(items)
                     n.append(len(items))
                     k1.append(key[0])
                     k2.append(key[1])
                     if len(seen) > SEEN:
                         seen.clear()
-                    new = len(items) > 0 and key not in seen
-                    seen.add(key)
+                    new = has_id and len(items) > 0 and key not in seen
+                    if has_id:
+                        seen.add(key)
                     tokens = block_tokens(items, table, percent) if new else np.zeros(0, np.uint64)
                     flat.append(tokens)
                     size.append(len(tokens))

@@ -71,6 +71,14 @@ def test_ngram_join_equals_all_pairs(documents):
     assert [r[2] for r in got if r[0] is None] == [None] and len(got) == len(rows)
 
 
+def test_set_first_met_without_an_id(spark):
+    rng = random.Random(18)
+    a = text(rng, 200)
+    rows = [(None, a), (3, a), (8, a.replace(a.split()[100], "other", 1)), (9, text(rng, 200))]
+    got = parity_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {None: None, 3: 3, 8: 3, 9: 9}
+
+
 def test_join_of_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert parity_join.ngram_jaccard_join(none).count() == 0
