@@ -232,10 +232,12 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
 
 def _classes(docs: DataFrame, rows: DataFrame, freq: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """``(k1, k2, component_id)`` of every set. A node is a set, named by its smallest doc_id; where one doc_id
-    has rows with different sets, by its key instead."""
+    has rows with different sets, the empty one included, by its key instead."""
     used = rows.where("n > 0 and doc_id is not null")
     reps = durable(used.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "reps")
-    twice = reps.groupBy("first_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    own = F.struct("k1", "k2")
+    twice = (rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+             .where("lo != hi").limit(1).count())
     key = F.concat_ws(":", "k1", "k2") if twice else F.col("first_id")
     named = reps.withColumn("node", key)
     tokens = rows.where("doc_id is not null").select(F.explode("tokens").alias("token"), F.col("k1").alias("k"), "n")

@@ -79,6 +79,21 @@ def test_set_first_met_without_an_id(spark):
     assert {r.doc_id: r.component_id for r in got} == {None: None, 3: 3, 8: 3, 9: 9}
 
 
+@pytest.mark.parametrize("other", [None, "", "shared"])
+def test_ids_with_several_sets(spark, other):
+    rng = random.Random(19)
+    rows, want = [], {}
+    for i in range(12):
+        a, b = text(rng, 150), text(rng, 150) if other == "shared" else other
+        # the row with the other set stands first; where it has words, a smaller id has it too
+        rows += [(500 + i, b), (500 + i, a), (900 + i, a.replace(a.split()[70], "changed", 1))]
+        rows += [(i, b)] if other == "shared" else []
+        want[900 + i] = 500 + i
+    got = parity_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id >= 900} == want
+    assert len(got) == len(rows)
+
+
 def test_join_of_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert parity_join.ngram_jaccard_join(none).count() == 0
