@@ -2,10 +2,11 @@
 stage's documents. All stages but the last return the columns of ``documents``.
 
 Every stage works on all rows its predecessor kept: toxicity rejects documents whose score reaches the limit; line
-dedup takes lines spread over many sites out of all texts; the n-gram Jaccard join keeps the smallest doc_id of each
-class (and all rows without words); decontamination drops documents that hold a benchmark item; packing cuts the
-rest into sequences. Rows with a null doc_id have no labels and no class; they stay, but where the text itself is
-rejected (toxicity) they go.
+dedup takes lines spread over many sites out of all texts; the n-gram Jaccard join keeps one row of each class, that
+of the smallest doc_id (and all rows without words); decontamination drops documents that hold a benchmark item; packing
+cuts the rest into sequences. Each row is decided on by its own text: stages that drop rows give every row a key
+first, so rows that repeat a doc_id, or with a null one, stay or go on their own. Only labels go by doc_id; a
+class keeps a row with a null doc_id if no other has one.
 """
 
 from __future__ import annotations
@@ -21,17 +22,33 @@ from shotweave.llm.decontaminate import contaminated
 from shotweave.llm.packing import pack
 from shotweave.llm.parity_join import ngram_jaccard_join
 from shotweave.llm.site_lines import remove_site_lines
+from shotweave.llm.toxic_segments import fit_segments, held_out, score_toxicity
 from shotweave.session import checkpoint_dir
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't in ``ids`` (durable); rows without an id stay."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, written once so that all readers see the same keys."""
+    return durable(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """The texts with the rows' keys in place of doc_id."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key isn't in ``keys`` (durable)."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, KEY, "left_anti").drop(KEY)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = Q.toxicity(spark, docs, sf_dir).where(F.col("score") >= Q.TOXIC_FROM).select("doc_id").distinct()
-    return _without(docs, durable(bad, "toxic"))
+    rows = _keyed(docs)
+    model = fit_segments(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    bad = score_toxicity(_by_key(rows), model).where(F.col("score") >= Q.TOXIC_FROM)
+    return _without(rows, durable(bad.select(F.col("doc_id").alias(KEY)), "toxic"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +56,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_jaccard_join(docs)
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    return _without(docs, durable(gone, "copies"))
+    rows = _keyed(docs)
+    classes = ngram_jaccard_join(_by_key(rows)).select(F.col("doc_id").alias(KEY), "component_id")
+    own = durable(rows.select(KEY, "doc_id").join(classes, KEY), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).alias("first")
+    kept = own.groupBy("component_id").agg(first).select(f"first.{KEY}")
+    return _without(rows, durable(own.select(KEY).join(kept, KEY, "left_anti"), "copies"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, durable(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks"))
+    rows = _keyed(docs)
+    leaks = contaminated(_by_key(rows), table(spark, sf_dir, "benchmark"))
+    return _without(rows, durable(leaks.select(F.col("doc_id").alias(KEY)).distinct(), "leaks"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -369,3 +369,48 @@ def test_components_joined_later(spark):
     at_once = components(spark.createDataFrame(first + later, "a long, b long"))
     assert sorted(map(tuple, label.collect())) == sorted(map(tuple, at_once.collect()))
     assert dict(map(tuple, label.collect()))[30] == 1
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(20)
+
+    def toxic(t):
+        w = t.split()
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), "vilex" + rng.choice(["a", "on", "ed", "um"]))
+        return " ".join(w)
+
+    base = [text(rng, rng.randint(20, 80)) for _ in range(400)]
+    base = [toxic(t) if i % 5 == 0 else t for i, t in enumerate(base)]
+    item, alone = text(rng, 25), text(rng, 60)
+    rows = list(enumerate(base)) + [
+        (None, toxic(text(rng, 50))), (None, text(rng, 50)), (None, f"{text(rng, 9)} {item}"), (None, base[21]), (None, alone),
+        (None, alone), (11, text(rng, 50)), (11, toxic(text(rng, 50))), (12, f"{item} {text(rng, 30)}"), (13, base[14]),
+        (16, base[16]), (16, base[16]), (17, ""), (17, ""), (None, None), (18, base[9] + " more")]
+    rows = [(i, t if n % 30 else f"{t}\nfoot of many sites", f"s{n % 17}") for n, (i, t) in enumerate(rows)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(20, 400)], "doc_id long, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [r for r in rows if "vilex" not in (r[1] or "")]
+    sites = {}
+    for _, t, source in left:
+        for line in (t or "").split("\n"):
+            sites.setdefault(line, set()).add(source)
+    left = [(i, t and "\n".join(x for x in t.split("\n") if not x or len(sites[x]) < 10)) for i, t, _ in left]
+    left.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    kept = []
+    for i, t in left:  # copies here are copies of a kept row
+        own = shingle_set(t)
+        if not any(own and 100 * len(own & k) >= 75 * len(own | k) for _, _, k in kept):
+            kept.append((i, t, own))
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = sorted((i is None, i or 0, len(tok.encode(t or "", add_special_tokens=False).ids) + 1)
+                  for i, t, _ in kept if item not in (t or ""))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in got if r.start == 0) == want
+    assert sum(r.length for r in got) == sum(n for *_, n in want)
