@@ -1,4 +1,4 @@
-"""The queries ``op1_*`` to ``op10_*`` over whole tables, and the DuckDB SQL of those that SQL can express."""
+"""The queries ``op1_*`` to ``op13_*`` over whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -79,10 +79,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotweave.llm.fim import fill_in_middle, restore
+    rows = restore(fill_in_middle(table(spark, sf_dir, "documents")), to="restored")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotweave.llm.whitening import fit_whitening, whiten
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors, components=16)
+    rows = whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    n, explained, error = (model.n, model.explained.tolist(), model.identity_error) if model else (0, [], None)
+    share = F.array([F.lit(v) for v in explained]) if explained else F.array().cast("array<double>")
+    return rows.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+                       F.get(share, F.col("i")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1, "op2_ball_tree_top_k": op2, "op3_paragraph_dedup": op3, "op4_ngram_jaccard": op4,
     "op5_role_repair": op5, "op6_toxic_segments": op6, "op7_packing": op7, "op8_decontamination": op8,
-    "op9_site_lines": op9, "op10_url_rules": op10}
+    "op9_site_lines": op9, "op10_url_rules": op10, "op11_fill_in_middle": op11, "op12_whitening": op12}
 
 #: Lower-casing of A-Z only.
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -157,5 +175,25 @@ SELECT n.doc_id, n.n AS n_shingles, coalesce(label.component_id, n.doc_id) AS co
 FROM n LEFT JOIN same USING (doc_id) LEFT JOIN label USING (rep)
 """
 
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), n AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n
+), c AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1, n - b) AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
 ORACLE: dict[str, str] = {"op2_ball_tree_top_k": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_site_lines": OP9_SQL,
-                          "op10_url_rules": OP10_SQL}
+                          "op10_url_rules": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
