@@ -58,6 +58,7 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_OCTET = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -129,6 +130,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     return mix64(out + (ends - starts).astype(np.uint64))
 
 
+def rolling_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of the ``k`` bytes from every place on; equal strings hash alike wherever they stand."""
+    n = len(data)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_OCTET[data] * up[:n], out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * down[:n - k + 1])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the total)."""
     starts, ends, first = word_spans(data, offsets)
@@ -169,4 +181,6 @@ def signed(h: np.ndarray) -> np.ndarray:
 def list_array(flat: np.ndarray, lengths: np.ndarray, kind=None) -> pa.Array:
     off = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, kind) if kind else pa.array(flat))
+    if not isinstance(flat, pa.Array):
+        flat = pa.array(flat, kind) if kind else pa.array(flat)
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)

@@ -97,10 +97,19 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.get(share, F.col("i")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shotweave.llm.run_index import remove_repeats
+    rows = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1, "op2_ball_tree_top_k": op2, "op3_paragraph_dedup": op3, "op4_ngram_jaccard": op4,
     "op5_role_repair": op5, "op6_toxic_segments": op6, "op7_packing": op7, "op8_decontamination": op8,
-    "op9_site_lines": op9, "op10_url_rules": op10, "op11_fill_in_middle": op11, "op12_whitening": op12}
+    "op9_site_lines": op9, "op10_url_rules": op10, "op11_fill_in_middle": op11, "op12_whitening": op12,
+    "op13_run_index": op13}
 
 #: Lower-casing of A-Z only.
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
