@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from shotweave.llm.common import (BROADCAST_ROWS, chunks, durable, list_array, m
                                   text_buffer)
 
 #: Bytes of hulls in an index, at most twice as many; bytes of text scanned at once (below 2 ** PLACE_BITS with a window).
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 SCAN = 1 << 19
 PLACE_BITS = 21
 #: By which factor the cells of a group that is dealt anew get narrower.
@@ -412,32 +413,34 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
         rows = rows.join(cut, ["k1", "k2"], "left")
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
 
+    def cut_out(ids, texts, spans):
+        data, off = text_buffer(texts)
+        each = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+        flat = spans.flatten()
+        a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        at = np.r_[0, np.cumsum(each)]
+        starts, ends, count, kept = [], [], [], []
+        for i in range(len(ids)):
+            lo, n = int(off[i]), int(off[i + 1] - off[i])
+            view = data[lo:lo + n]
+            by = np.argsort(a[at[i]:at[i + 1]], kind="stable")
+            s, e = a[at[i]:at[i + 1]][by], np.minimum(b[at[i]:at[i + 1]][by], n - length + 1) - 1 + length
+            if len(s):
+                reach = np.maximum.accumulate(e)
+                new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])  # runs that touch are one
+                s, e = s[new], reach[np.r_[new[1:] - 1, len(s) - 1]]
+                view = np.concatenate([view[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), n], strict=True)])
+            starts.append(s)
+            ends.append(e)
+            count.append(len(s))
+            kept.append(view.tobytes())
+        removed = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], ["start", "end"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off)), list_array(removed, np.array(count, np.int64)), pa.array(kept, pa.binary())],
+                                          ["doc_id", "n_bytes", "removed", "kept"])
+
     def run(batches):
         for batch in batches:
-            data, off = text_buffer(batch.column("text"))
-            spans = batch.column("spans")
-            each = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(spans), 0))
-            flat = spans.flatten()
-            a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            at = np.r_[0, np.cumsum(each)]
-            starts, ends, count, kept = [], [], [], []
-            for i in range(batch.num_rows):
-                lo, n = int(off[i]), int(off[i + 1] - off[i])
-                view = data[lo:lo + n]
-                by = np.argsort(a[at[i]:at[i + 1]], kind="stable")
-                s, e = a[at[i]:at[i + 1]][by], np.minimum(b[at[i]:at[i + 1]][by], n - length + 1) - 1 + length
-                if len(s):
-                    reach = np.maximum.accumulate(e)
-                    new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])  # runs that touch are one
-                    s, e = s[new], reach[np.r_[new[1:] - 1, len(s) - 1]]
-                    view = np.concatenate([view[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), n], strict=True)])
-                starts.append(s)
-                ends.append(e)
-                count.append(len(s))
-                kept.append(view.tobytes())
-            removed = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], ["start", "end"]) \
-                if starts else pa.array([], pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), list_array(removed, np.array(count, np.int64)),
-                                              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            for i, j in chunks(text_buffer(batch.column("text"))[1]):
+                yield cut_out(*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text", "spans")))
 
     return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
