@@ -9,6 +9,9 @@ same number can be computed in any SQL engine that has md5.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +36,39 @@ def draw_sql(seed, *keys: str) -> str:
     parts = [f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys]
     return ("(CAST(('0x' || substr(md5(concat_ws('|', " + ", ".join(parts)
             + ")), 1, 8)) AS UBIGINT) / 4294967296.0)")
+
+
+# A stream of draws per key: one md5 gives two seeds, and the i-th draw is a fixed function of the seeds and i, in
+# whole numbers below 2**31 whose products fit a long. Any engine computes the same, and a caller may start anywhere.
+PRIME = 2147483647
+STEP, MIX = 1566083941, 48271
+
+
+def seed_pair(*keys) -> tuple[int, int]:
+    """The two seeds of a key, in Python."""
+    h = hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()
+    return int(h[:7], 16), int(h[7:14], 16)
+
+
+def stream(seeds: tuple[int, int], first: int, count: int) -> np.ndarray:
+    """Draws ``first`` to ``first + count - 1`` of a stream, uniform in [0, 1)."""
+    s1, s2 = seeds
+    i = np.arange(first, first + count, dtype=np.int64)
+    z = (s1 + (i + 1) * STEP) % PRIME
+    z = (z * z + s2) % PRIME
+    z = (z * MIX + s1) % PRIME
+    return (z * z + i) % PRIME / PRIME
+
+
+def seeds_sql(*keys: str) -> str:
+    """SQL text of ``seed_pair`` as two columns ``s1, s2`` (keys are SQL expressions)."""
+    h = "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "))"
+    return ", ".join(f"CAST(('0x' || substr({h}, {1 + 7 * j}, 7)) AS BIGINT) AS s{j + 1}" for j in range(2))
+
+
+def stream_sql(i: str, s1: str = "s1", s2: str = "s2") -> str:
+    """SQL text of draw ``i`` (a BIGINT expression) of the stream with the seeds ``s1, s2``."""
+    z = f"(({s1} + (({i}) + 1) * {STEP}) % {PRIME})"
+    z = f"(({z} * {z} + {s2}) % {PRIME})"
+    z = f"(({z} * {MIX} + {s1}) % {PRIME})"
+    return f"(CAST(({z} * {z} + ({i})) % {PRIME} AS DOUBLE) / {PRIME})"

@@ -59,18 +59,35 @@ def prompt_lines(prompts: DataFrame, scaffold: bool = False) -> Column:
     return F.col("lines")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as the session has shuffle partitions, however few its bytes are: for
+    rows that mean much work each, which adaptive coalescing can't know."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def emit_blocks(df: DataFrame, count: Column, block: int, *keys: str) -> DataFrame:
+    """Each row once for every ``block`` of the ``count`` rows that it asks for, as ``_block`` 0, 1, ..., dealt out by ``keys``
+    and block: what is emitted for one row is the work of many tasks."""
+    blocks = df.withColumn("_block", F.explode(safe_range(F.ceil(count / block).cast("int"))))
+    return spread(blocks, *keys, "_block")
+
+
 # AUG-02 --------------------------------------------------------------------
+UPSAMPLE_BLOCK = 8192
+
+
 def upsample(prompts: DataFrame, quota: DataFrame, scaffold: bool = False) -> DataFrame:
     """``n // L`` whole copies of the prompt lines, then the first ``n % L`` lines.
 
-    Row ``i`` of the output is ``lines[i % L]``; ``quota`` is ``(val_domain, quota)``.
+    Row ``i`` of the output is ``lines[i % L]``; ``quota`` is ``(val_domain, quota)``. Quotas are emitted block by block.
     """
-    q = quota.select(F.col("val_domain").alias("domain"), "quota")
+    q = quota.select(F.col("val_domain").alias("domain"), F.col("quota").cast("long").alias("quota"))
     p = prompts.join(q, "domain").withColumn("_l", prompt_lines(prompts, scaffold))
-    return (p.select("domain", "intent", "intent_id", "prompt_id", "_l",
-                     F.explode(safe_range(F.col("quota"))).alias("gen_idx"))
-            .select("domain", F.lit("upsample").alias("attr"), "intent", "intent_id",
-                    "prompt_id", F.col("gen_idx").cast("long").alias("gen_idx"),
+    start = F.col("_block").cast("long") * UPSAMPLE_BLOCK
+    place = F.sequence(start, F.least(F.col("quota"), start + UPSAMPLE_BLOCK) - 1)
+    return (emit_blocks(p, F.col("quota"), UPSAMPLE_BLOCK, "domain", "intent", "prompt_id")
+            .select("domain", "intent", "intent_id", "prompt_id", "_l", F.explode(place).alias("gen_idx"))
+            .select("domain", F.lit("upsample").alias("attr"), "intent", "intent_id", "prompt_id", "gen_idx",
                     F.element_at("_l", (F.col("gen_idx") % F.size("_l") + 1).cast("int"))
                     .alias("text")))
 

@@ -11,7 +11,7 @@ from shotweave.operators.score import fit_scorer, pool_generated, relabel
 from shotweave.plans.catalog import register
 from shotweave.plans.flagship import corpus_thesaurus
 from shotweave.plans.flagship import corpus_scorer
-from shotweave.plans.q_eda import EDA_DOMAIN_ROWS, DOMAIN_LINES_SQL, rd_sql, ri_sql, rs_sql, select_variants, sr_sql
+from shotweave.plans.q_eda import DOMAIN_EDA_SQL, EDA_DOMAIN_ROWS
 from shotweave.plans.q_mix import MIXED_SQL, N_SQL, q_mix06
 from shotweave.plans.sqltext import (K, NB_SQL, POOL_SQL, PROMPTS_SQL, QUOTA_SQL, SEEDS_SQL, UPSAMPLE_SQL,
                                      with_corpus)
@@ -19,8 +19,7 @@ from shotweave.sources.corpus import corpus
 
 OOS_SQL = "(SELECT intent_id FROM dim WHERE intent = 'oos')"
 GEN = with_corpus(SEEDS_SQL, PROMPTS_SQL, QUOTA_SQL, UPSAMPLE_SQL)
-EDA_GEN = select_variants([sr_sql(0.05), ri_sql(0.05), rs_sql(0.05), rd_sql(0.05)], DOMAIN_LINES_SQL,
-                          as_cte=True) + ", eda_rows AS (" + EDA_DOMAIN_ROWS + ")"
+EDA_GEN = DOMAIN_EDA_SQL + ", eda_rows AS (" + EDA_DOMAIN_ROWS + ")"
 
 TRAIN_SEEDS = "SELECT 'train' AS split, text, intent_id FROM seeds"
 OOS_TRAIN = f"SELECT 'train', text, intent_id FROM corpus WHERE split = 'train' AND intent_id = {OOS_SQL}"

@@ -78,3 +78,10 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build: Calla
         if not fs.rename(src, dst) and not exists(spark, path):
             raise RuntimeError(f"could not publish {path}")
     return spark.read.parquet(path)
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back: its lineage ends at a table that survives lost executors."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), "shotweave", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
