@@ -23,7 +23,7 @@ from shotweave.plans.sqltext import K, with_corpus
 from shotweave.sources import readers as RD
 from shotweave.sources import sinks as SK
 from shotweave.sources.corpus import base_rows, corpus
-from shotweave.streaming.incremental import incremental, scratch_path
+from shotweave.streaming.incremental import incremental, read_sink, scratch_path
 
 KEY_SQL = "CASE WHEN intent = 'oos' THEN 'oos_' ELSE '' END || split"
 
@@ -150,11 +150,10 @@ def q_str01(spark, sf):
     src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "stream-sink")
     # two arrivals: the generated rows, then the val/test pool
     pool.where(F.col("attr") == "upsample").write.parquet(src + "/batch=0")
-    incremental(spark, src, pool.schema, sink, lambda b: relabel(b, model), SINK_SCHEMA)
+    incremental(spark, src, pool.schema, sink, lambda b: relabel(b, model))
     pool.where(F.col("attr") != "upsample").write.parquet(src + "/batch=1")
-    incremental(spark, src, pool.schema, sink, lambda b: relabel(b, model), SINK_SCHEMA)
-    return spark.read.schema(SINK_SCHEMA).parquet(sink).select("attr", "row_key", "old_intent_id", "intent_id",
-                                                               "intent")
+    incremental(spark, src, pool.schema, sink, lambda b: relabel(b, model))
+    return read_sink(spark, sink, SINK_SCHEMA).select("attr", "row_key", "old_intent_id", "intent_id", "intent")
 
 
 _ = K

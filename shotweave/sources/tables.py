@@ -85,3 +85,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(df.sparkSession), "shotweave", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A short text as one file, through the Hadoop file system API."""
+    fs, p = file_system(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """What ``write_small`` wrote."""
+    fs, p = file_system(spark, path)
+    source = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()

@@ -1,5 +1,6 @@
 """Invariants of sampling, augmentation, assembly and the stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -9,7 +10,7 @@ from shotweave.operators.assemble import assemble, get_split
 from shotweave.operators.mix import normalise_votes, soft_labels
 from shotweave.operators.score import fit_scorer, pool_generated, relabel
 from shotweave.sources.corpus import corpus
-from shotweave.streaming.incremental import incremental, scratch_path
+from shotweave.streaming.incremental import committed, incremental, read_sink, scratch_path, write_batch
 
 K = 3
 
@@ -105,13 +106,39 @@ def test_stream_equals_batch_and_rerun_adds_nothing(spark):
     pool = pool_generated(gen, c, ["upsample"])
     model = fit_scorer(c.where("split = 'train'"))
     src, sink = scratch_path(spark, "t-src"), scratch_path(spark, "t-sink")
-    pool.write.parquet(src + "/batch=0")
-    incremental(spark, src, pool.schema, sink, lambda b: relabel(b, model), SINK_SCHEMA)
-    n1 = spark.read.parquet(sink).count()
-    # a second run from a fresh checkpoint sees the same files and adds nothing
-    incremental(spark, src, pool.schema, sink, lambda b: relabel(b, model), SINK_SCHEMA,
-                checkpoint=scratch_path(spark, "t-ckpt"))
-    got = spark.read.parquet(sink)
-    assert got.count() == n1 == pool.count()
-    batch = relabel(pool, model).select("row_key", "intent_id")
-    assert got.select("row_key", "intent_id").exceptAll(batch).count() == 0
+    halves = [pool.where(F.crc32(F.col("row_key").cast("binary")) % 2 == i) for i in (0, 1)]
+
+    def label(b):
+        return relabel(b, model)
+
+    halves[0].write.parquet(src + "/part=0")
+    assert incremental(spark, src, pool.schema, sink, label) == 1
+    n1 = read_sink(spark, sink, SINK_SCHEMA).count()
+    # the same rows in other files: their keys are known, only the others are scored
+    pool.write.parquet(src + "/part=1")
+    assert incremental(spark, src, pool.schema, sink, label) == 1
+    assert incremental(spark, src, pool.schema, sink, label) == 0
+    got = read_sink(spark, sink, SINK_SCHEMA)
+    assert n1 == halves[0].count() and got.count() == pool.count()
+    want = relabel(pool, model).select("row_key", "intent_id")
+    assert got.select("row_key", "intent_id").exceptAll(want).count() == 0
+    # a replayed batch overwrites its own folder
+    write_batch(halves[0], 0, sink, lambda b: relabel(b, model))
+    assert read_sink(spark, sink, SINK_SCHEMA).count() == pool.count()
+    assert committed(spark, sink, 0) and committed(spark, sink, 1) and not committed(spark, sink, 2)
+    with pytest.raises(ValueError, match="holds the batches"):
+        incremental(spark, src, pool.schema, sink, label, checkpoint=scratch_path(spark, "t-ckpt"))
+
+
+def test_stream_never_reads_its_sink(spark):
+    src, sink = scratch_path(spark, "t-src"), scratch_path(spark, "t-sink")
+    rows = spark.range(100).selectExpr("id", "cast(id % 40 as string) as row_key", "timestamp_seconds(id) as at")
+    rows.write.parquet(src + "/part=0")
+    files = []
+    incremental(spark, src, rows.schema, sink, lambda b: files.extend(b.inputFiles()) or b, event_time="at")
+    rows.write.parquet(src + "/part=1")
+    incremental(spark, src, rows.schema, sink, lambda b: files.extend(b.inputFiles()) or b, event_time="at")
+    assert files and all("/_arrived-" in f for f in files)
+    assert read_sink(spark, sink, rows.schema).groupBy("row_key").count().where("count > 1").count() == 0
+    assert read_sink(spark, sink, rows.schema).count() == 40
+    assert read_sink(spark, scratch_path(spark, "none"), rows.schema).count() == 0
