@@ -2,6 +2,6 @@
 
 from shotweave.functions.rand import draw  # noqa: F401
 from shotweave.functions.text import (  # noqa: F401
-    STOP_WORDS, clean_chars, first_line, regex_tokens, words_of,
+    STOP_WORDS, clean_chars, regex_tokens, words_of,
 )
 from shotweave.functions.arrays import argmax, one_hot, softmax  # noqa: F401

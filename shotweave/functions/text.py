@@ -34,10 +34,6 @@ SPACED_CHARS = "-\t\n"
 TOKEN_LIMIT = 50  # scorer token truncation
 
 
-def first_line(text: Column) -> Column:
-    return F.substring_index(text, "\n", 1)
-
-
 def clean_chars(text: Column) -> Column:
     """Lower-case a-z and single spaces; one leading space dropped, a trailing one kept.
 
@@ -70,6 +66,7 @@ CLEAN_SQL = ("regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(
              "'[^a-z ]', ' ', 'g'), ' +', ' ', 'g'), '^ ', '')")
 
 # The ASCII whitespace a Python-style strip removes.
+STRIPPED = " \t\n\r\f\v"
 _WS = "[ \\t\\n\\r\\f\\x0B]"
 
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotweave.functions.text import py_strip
+from shotweave.functions.text import STRIPPED, py_strip
+from shotweave.sources.tables import durable
 
 # Prompt wording (header, line prefix) and the sweep grid.
 PROMPT_HEADER = "The following sentences belong to the same category '{intent}':"
@@ -29,6 +30,11 @@ def safe_range(n: Column) -> Column:
         F.array().cast("array<int>"))
 
 
+def _line_prefix(i: Column) -> Column:
+    before, after = LINE_PREFIX.split("{i}")
+    return F.concat(F.lit(before), i.cast("string"), F.lit(after))
+
+
 # AUG-01 --------------------------------------------------------------------
 def build_prompts(seeds: DataFrame, num_ex: int = 10) -> DataFrame:
     """Chunks of ``num_ex`` seeds per intent (in hash-rank order) rendered as prompts.
@@ -42,12 +48,11 @@ def build_prompts(seeds: DataFrame, num_ex: int = 10) -> DataFrame:
     g = (chunked.groupBy("domain", "intent", "intent_id", "prompt_id")
          .agg(F.sort_array(F.collect_list(F.struct("rn", "text"))).alias("_s")))
     lines = F.transform(F.col("_s"), lambda x: x["text"])
+    before, after = PROMPT_HEADER.split("{intent}")
     body = F.array_join(
-        F.transform(F.col("_s"), lambda x, i: F.concat(F.lit("Example "), (i + 1).cast("string"),
-                                                        F.lit(": "), x["text"])), "\n")
-    header = F.concat(F.lit("The following sentences belong to the same category '"),
-                      F.col("intent"), F.lit("':"))
-    prompt = F.concat_ws("\n", header, body, F.lit(f"Example {num_ex + 1}:"))
+        F.transform(F.col("_s"), lambda x, i: F.concat(_line_prefix(i + 1), x["text"])), "\n")
+    header = F.concat(F.lit(before), F.col("intent"), F.lit(after))
+    prompt = F.concat_ws("\n", header, body, F.rtrim(_line_prefix(F.lit(num_ex + 1))))
     return g.select("domain", "intent", "intent_id", "prompt_id",
                     lines.alias("lines"), prompt.alias("prompt"))
 
@@ -130,7 +135,7 @@ def extract_continuation(df: DataFrame, n: int | None = None, key: str = "reques
     trim, skip empty, keep the first ``n`` per request."""
     k = F.size(F.split(F.col("prompt"), "\n")) - 1
     line = F.element_at(F.split(F.col("output"), "\n"), (k + 1).cast("int"))
-    cut = F.length(F.concat(F.lit("Example "), (k - 1).cast("string"), F.lit(": ")))
+    cut = F.length(_line_prefix(k - 1))
     text = py_strip(F.substring(line, cut + 1, 1 << 30))
     out = df.withColumn("text", text).where(F.col("text").isNotNull() & (F.col("text") != ""))
     if n is not None:
@@ -140,10 +145,6 @@ def extract_continuation(df: DataFrame, n: int | None = None, key: str = "reques
 
 
 # AUG-15 --------------------------------------------------------------------
-def attr_name(mode: Column, engine: Column, temp: Column) -> Column:
-    return F.when(engine.isNull(), mode).otherwise(F.concat(engine, F.lit("_"), temp))
-
-
 def with_attr_grid(df: DataFrame, engines: Sequence[str] = ENGINES,
                    temps: Sequence[str] = DEFAULT_TEMPS) -> DataFrame:
     """Each row once per (engine, temperature); a generator over literals, no join."""
@@ -164,7 +165,7 @@ def resume(plan: DataFrame, done: DataFrame, keys: Sequence[str] = ("domain", "a
 def augment(prompts: DataFrame, quota: DataFrame, modes: Sequence[str] = ("upsample",),
             top_k: int | None = None, top_p: float | None = None,
             eda_rates: float = 0.05, scaffold: bool = False,
-            generator: Callable | None = None, thesaurus: DataFrame | None = None) -> DataFrame:
+            generator: Generator | None = None, thesaurus: DataFrame | None = None) -> DataFrame:
     """Union of the requested modes over all domains in one job."""
     if top_k is not None and top_k < 0:
         raise ValueError("top_k must be >= 0")
@@ -178,9 +179,8 @@ def augment(prompts: DataFrame, quota: DataFrame, modes: Sequence[str] = ("upsam
         elif m == "eda":
             parts.append(eda_domain(prompts, quota, thesaurus, rate=eda_rates, scaffold=scaffold))
         elif generator is not None:
-            parts.append(complete(plan_requests(prompts.join(
-                quota.withColumnRenamed("val_domain", "domain"), "domain")), generator)
-                .withColumn("attr", F.lit(m)).select(*GEN_COLS))
+            parts.append(complete_quota(prompts.join(quota.withColumnRenamed("val_domain", "domain"), "domain"), "quota", generator)
+                         .withColumn("attr", F.lit(m)).select(*GEN_COLS))
         else:
             raise ValueError(f"mode {m!r} needs a generator")
     out = parts[0].select(*GEN_COLS)
@@ -190,27 +190,102 @@ def augment(prompts: DataFrame, quota: DataFrame, modes: Sequence[str] = ("upsam
 
 
 # AUG-19 / UDF-01 -------------------------------------------------------------
-COMPLETION_SCHEMA = ("domain string, intent string, intent_id int, prompt_id int, "
-                     "gen_idx long, text string")
+REQUEST_COLS = ["domain", "intent", "intent_id", "prompt_id", "req_idx", "n", "prompt"]
+PROMPT_KEY = ["domain", "intent", "intent_id", "prompt_id"]
+REQUEST_KEY = [*PROMPT_KEY, "req_idx"]
+COMPLETION_SCHEMA = "domain string, intent string, intent_id int, prompt_id int, req_idx int, choice_idx int, text string"
+
+#: A generator: gets the request batches of a task, yields frames of texts (REQUEST_KEY and ``text``).
+Generator = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
 
+def each_batch(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Generator:
+    """A generator that calls ``fn`` for every batch."""
+    return lambda batches: map(fn, batches)
 
-def complete(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
-             partitions: int | None = None) -> DataFrame:
-    """Run a user text generator over request batches (Arrow, one call per batch).
 
-    ``fn`` receives a pandas frame with ``domain, intent, intent_id, prompt_id,
-    req_idx, n, prompt`` and returns one row per generated text with columns
-    ``domain, intent, intent_id, prompt_id, gen_idx, text``. Requests are spread
-    by a hash of their key so a large plan keeps every task busy; a model would be
-    loaded once per task inside ``fn``'s iterator.
+def with_model(load: Callable[[], object], fn: Callable[[object, pd.DataFrame], pd.DataFrame]) -> Generator:
+    """A generator that calls ``load`` once per task, and ``fn(model, batch)`` for every batch of the task."""
+    def run(batches):
+        model = load()
+        for batch in batches:
+            yield fn(model, batch)
+    return run
+
+
+def complete(requests: DataFrame, generator: Generator, n_max: int = N_MAX) -> DataFrame:
+    """The texts of a user generator for ``requests`` (Arrow batches), as ``GEN_COLS`` without ``attr``.
+
+    A batch of requests is a pandas frame with ``domain, intent, intent_id, prompt_id, req_idx, n, prompt``; the generator
+    yields texts in the order of their choices, with their request's key. Texts are trimmed, empty ones dropped; of a request
+    the first ``n`` are taken. Requests are dealt out by their key over all tasks; the generator is called once per task.
     """
-    cols = ["domain", "intent", "intent_id", "prompt_id", "req_idx", "n", "prompt"]
-    r = requests.select(*cols)
-    if partitions:
-        r = r.repartition(partitions, "domain", "intent", "prompt_id", "req_idx")
+    return _answers(requests, generator).select(
+        *PROMPT_KEY, (F.col("req_idx").cast("long") * n_max + F.col("choice_idx")).alias("gen_idx"), "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield fn(b)
 
-    return r.mapInPandas(run, COMPLETION_SCHEMA)
+def _answers(requests: DataFrame, generator: Generator) -> DataFrame:
+    """``COMPLETION_SCHEMA``: the accepted texts of each request, numbered by ``choice_idx``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted: dict[tuple, list[int]] = {}  # of each request of the task: taken, asked for
+
+        def handed():
+            for b in batches:
+                for key, n in zip(b[REQUEST_KEY].itertuples(index=False, name=None), b["n"]):
+                    wanted[key] = [0, int(n)]
+                yield b
+
+        for out in generator(handed()):
+            rows = []
+            for *key, text in out[[*REQUEST_KEY, "text"]].itertuples(index=False, name=None):
+                text = (text or "").strip(STRIPPED)
+                if text and (count := wanted[tuple(key)])[0] < count[1]:
+                    rows.append((*key, count[0], text))
+                    count[0] += 1
+            yield pd.DataFrame(rows, columns=[*REQUEST_KEY, "choice_idx", "text"])
+
+    return spread(requests.select(*REQUEST_COLS), *PROMPT_KEY, "req_idx").mapInPandas(run, COMPLETION_SCHEMA)
+
+
+# AUG-13 with AUG-19 ----------------------------------------------------------
+def complete_quota(prompts: DataFrame, quota_col: str, generator: Generator, n_max: int = N_MAX, max_rounds: int = 20) -> DataFrame:
+    """Exactly ``quota_col`` texts for every prompt, as ``GEN_COLS`` without ``attr``: what is missing after a round, since texts were
+    empty or too few, is asked for again until nothing is.
+
+    Each round is written down and asks for the shortfall only, in requests of at most ``n_max``. The numbers of a prompt's
+    requests (``req_idx``) go on from round to round. ``gen_idx`` numbers a prompt's texts from 0 on, by request. Raises
+    RuntimeError if texts are still missing after ``max_rounds``.
+    """
+    start = prompts.select(*PROMPT_KEY, "prompt", F.col(quota_col).cast("long").alias("missing"), F.lit(0).alias("_asked"))
+    open_ = durable(start.where("missing > 0"), "prompts")
+    accepted = [durable(_answers(_numbered(open_, n_max), generator), "accepted")]
+    for _ in range(1, max_rounds):
+        open_ = durable(_short(open_, accepted[-1], n_max), "prompts")
+        if open_.isEmpty():
+            break
+        accepted.append(durable(_answers(_numbered(open_, n_max), generator), "accepted"))
+    else:
+        if left := _short(open_, accepted[-1], n_max).count():
+            raise RuntimeError(f"{left} prompts miss texts after {max_rounds} rounds")
+    texts = accepted[0]
+    for a in accepted[1:]:
+        texts = texts.unionByName(a)
+    # numbers by running sums over the requests' counts, not over the texts
+    before = Window.partitionBy(*PROMPT_KEY).orderBy("req_idx").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (texts.groupBy(*REQUEST_KEY).agg(F.count("*").alias("c"))
+              .withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
+    return texts.join(starts, REQUEST_KEY).select(*PROMPT_KEY, (F.col("start") + F.col("choice_idx")).alias("gen_idx"), "text")
+
+
+def _numbered(open_: DataFrame, n_max: int) -> DataFrame:
+    """The requests of a round, numbered after those of the rounds before."""
+    return plan_requests(open_, "missing", n_max).withColumn("req_idx", F.col("req_idx") + F.col("_asked"))
+
+
+def _short(open_: DataFrame, answers: DataFrame, n_max: int) -> DataFrame:
+    """The prompts that still miss texts after a round's answers."""
+    got = answers.groupBy(*PROMPT_KEY).agg(F.count("*").alias("got"))
+    left = F.col("missing") - F.coalesce("got", F.lit(0))
+    asked = F.col("_asked") + F.ceil(F.col("missing") / n_max).cast("int")
+    return (open_.join(got, PROMPT_KEY, "left").select(*PROMPT_KEY, "prompt", left.alias("missing"), asked.alias("_asked"))
+            .where("missing > 0"))

@@ -176,23 +176,41 @@ def q_aug17(spark, sf):
     return A.resume(plan, done).distinct()
 
 
-def echo_generator(batch: pd.DataFrame) -> pd.DataFrame:
+def echo(batch: pd.DataFrame) -> pd.DataFrame:
     """Built-in stand-in generator: request ``n`` texts, the prompt's seed lines in turn."""
     out = []
     for r in batch.itertuples(index=False):
         seeds = [ln.split(": ", 1)[1] for ln in r.prompt.split("\n")[1:-1]]
         for j in range(int(r.n)):
-            gi = int(r.req_idx) * A.N_MAX + j
-            out.append((r.domain, r.intent, int(r.intent_id), int(r.prompt_id), gi,
-                        seeds[gi % len(seeds)]))
-    return pd.DataFrame(out, columns=["domain", "intent", "intent_id", "prompt_id", "gen_idx", "text"])
+            out.append((r.domain, r.intent, r.intent_id, r.prompt_id, r.req_idx, seeds[(r.req_idx * A.N_MAX + j) % len(seeds)]))
+    return pd.DataFrame(out, columns=[*A.REQUEST_KEY, "text"])
 
 
-@register("aug19_complete_hook", GEN + "SELECT domain, intent, intent_id, prompt_id, gen_idx, text FROM gen")
+def half_empty(batch: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in that fails half its answers: every other text of a request is blank, from the first on or from the second."""
+    out = echo(batch)
+    choice = out.groupby(A.REQUEST_KEY).cumcount()
+    out.loc[(choice + out.req_idx) % 2 == 0, "text"] = " \n"
+    return out
+
+
+@register("aug19_complete_hook", GEN + "SELECT domain, intent, intent_id, prompt_id, gen_idx, "
+          + STRIP_SQL.format(x="text") + " AS text FROM gen WHERE " + STRIP_SQL.format(x="text") + " <> ''")
 def q_aug19(spark, sf):
     c, p = prompts_of(spark, sf)
     req = A.plan_requests(p.join(synthetic_quota(c).withColumnRenamed("val_domain", "domain"), "domain"))
-    return A.complete(req, echo_generator)
+    return A.complete(req, A.each_batch(echo))
 
 
-_ = py_strip
+@register("aug13_complete_quota", GEN + """
+SELECT g.domain, g.intent, g.intent_id, g.prompt_id, g.gen_idx, true AS of_prompt FROM gen g""")
+def q_aug13q(spark, sf):
+    """A generator that fails half its answers, asked until each prompt has its quota; the rows tell whether each text is a
+    line of its prompt."""
+    c, p = prompts_of(spark, sf)
+    asked = p.join(synthetic_quota(c).withColumnRenamed("val_domain", "domain"), "domain")
+    got = A.complete_quota(asked, "quota", A.each_batch(half_empty), n_max=4)
+    seeds = F.transform("lines", py_strip)
+    return got.join(p.select(*A.PROMPT_KEY, seeds.alias("lines")), A.PROMPT_KEY).select(
+        "domain", "intent", "intent_id", "prompt_id", "gen_idx", F.array_contains("lines", F.col("text")).alias("of_prompt"))
+
