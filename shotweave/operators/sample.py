@@ -91,34 +91,46 @@ def train_class_sizes(corpus: DataFrame, oos: str = "oos") -> DataFrame:
             .groupBy("intent", "domain").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _median(sorted_arr) -> F.Column:
-    """Interpolated median of a sorted numeric array (null when empty)."""
-    n = F.size(sorted_arr)
-    lo = F.element_at(sorted_arr, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(sorted_arr, F.floor(n / 2 + 1).cast("int"))
-    return F.when(n > 0, F.when(n % 2 == 1, lo.cast("double")).otherwise((lo + hi) / 2.0))
-
-
 def synthetic_quota(corpus: DataFrame, oos: str = "oos", domains: list[str] | None = None) -> DataFrame:
     """Per held-out domain: int(median of the M-train class sizes).
 
-    Falls back to the median over all base-train classes when M is empty. The
-    class-size table (one entry per class, bounded) is gathered into a single
-    row and each domain's median is taken with array functions: no driver
-    round trip and no join.
+    Falls back to the median over all base-train classes when M is empty.
+
+    Order statistics on a histogram of class sizes: running sums over the sizes of all in-scope classes give the rank of a
+    size; between two sizes of the held-out domain, a constant number of classes is missing from that rank. So each of the
+    domain's sizes looks up two ranks in the running sums, and the smallest size that lies in its stretch counts. The
+    histogram has one row per different size, at most sqrt(2 n) of them for n rows, a look-up per (domain, size).
     """
     sizes = train_class_sizes(corpus, oos)
-    one = sizes.agg(F.collect_list(F.struct(F.col("domain"), F.col("cnt"), (F.col("intent") == F.lit(oos))
-                                            .alias("is_oos"))).alias("all"))
-    ins = F.filter("all", lambda x: ~x["is_oos"])
-    doms = F.array_distinct(F.transform(ins, lambda x: x["domain"]))
+    ins = sizes.where(F.col("intent") != F.lit(oos))
+    by_size = Window.orderBy("cnt")
+    hist = ins.groupBy("cnt").agg(F.count("*").alias("c")).select(F.sum("c").over(by_size).alias("x"), F.col("cnt").alias("size"))
+    own = Window.partitionBy("domain").orderBy("cnt")
+    steps = (ins.groupBy("domain", "cnt").agg(F.count("*").alias("c"))
+             .select("domain", F.col("cnt").alias("begin"), F.lead("cnt").over(own).alias("end"), F.sum("c").over(own).alias("gone")))
+    held = ins.groupBy("domain").agg(F.count("*").alias("classes"), F.min("cnt").alias("end"))
     if domains is not None:
-        doms = F.array(*[F.lit(d) for d in domains])
-    per = one.select("all", F.explode(doms).alias("val_domain"))
-    m_sizes = F.array_sort(F.transform(F.filter("all", lambda x: ~x["is_oos"] & (x["domain"] != F.col("val_domain"))),
-                                       lambda x: x["cnt"]))
-    base = F.array_sort(F.transform("all", lambda x: x["cnt"]))
-    return per.select("val_domain", F.floor(F.coalesce(_median(m_sizes), _median(base))).cast("long").alias("quota"))
+        names = corpus.sparkSession.createDataFrame([(d,) for d in domains], "domain string")
+        held = names.join(held, "domain", "left").withColumn("classes", F.coalesce("classes", F.lit(0)))
+        steps = steps.join(names, "domain", "left_semi")
+    left = F.lit(ins.select(F.count("*").alias("n")).scalar()) - F.col("classes")
+    ranks = held.select("domain", F.floor((left + 1) / 2).alias("low"), (F.floor(left / 2) + 1).alias("high"), left.alias("left"), "end")
+    stretches = (ranks.select("domain", F.lit(0).cast("long").alias("begin"), "end", F.lit(0).cast("long").alias("gone"))
+                 .unionByName(steps))
+    asked = (stretches.join(ranks.where("left > 0").drop("end"), "domain")
+             .select("domain", "begin", "end", F.explode(F.array("low", "high")).alias("rank"), "gone")
+             .distinct()
+             .select("domain", "begin", "end", "rank", (F.col("rank") + F.col("gone")).alias("x"), F.lit(None).cast("long").alias("size")))
+    # the next running sum at or after each rank asked for
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("domain", "string"), ("begin", "long"), ("end", "long"), ("rank", "long"))]
+    onward = Window.orderBy("x", F.col("size").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = asked.unionByName(hist.select(*none, "x", "size")).withColumn("size", F.first("size", ignorenulls=True).over(onward))
+    value = F.greatest("size", "begin")
+    found = (met.where(F.col("domain").isNotNull() & F.col("size").isNotNull() & (F.col("end").isNull() | (value < F.col("end"))))
+             .groupBy("domain", "rank").agg(F.min(value).alias("v")).groupBy("domain").agg(F.avg("v").alias("median")))
+    base = F.lit(sizes.select(F.median("cnt").alias("m")).scalar())
+    return (ranks.join(found, "domain", "left")
+            .select(F.col("domain").alias("val_domain"), F.floor(F.coalesce("median", base)).cast("long").alias("quota")))
 
 
 # FS-06 ---------------------------------------------------------------------
