@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.arrays import argmax, one_hot
 from shotweave.functions.rand import draw
+from shotweave.session import MAX_CLASSES
+from shotweave.sources.tables import numbered
 
 
 class UnknownLabelError(ValueError):
@@ -31,16 +33,24 @@ def label_dictionary(df: DataFrame, col: str = "intent", oos: str | None = "oos"
 # LBL-02 --------------------------------------------------------------------
 def label_dictionary_from_list(spark: SparkSession, names: Sequence[str],
                                col: str = "intent") -> DataFrame:
-    """Label dictionary in the given list order (fixed label lists)."""
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)],
+    """Label dictionary in the given list order (fixed label lists); a list over MAX_CLASSES raises, see
+    ``label_dictionary_in_order``."""
+    return spark.createDataFrame([(n, i) for i, n in enumerate(bounded(names))],
                                  f"{col} string, {col}_id int")
 
 
+def label_dictionary_in_order(names: DataFrame, col: str = "intent") -> DataFrame:
+    """Label dictionary in the order of a sorted table of distinct names, of any number."""
+    return numbered(names.select(col), f"{col}_id").select(col, F.col(f"{col}_id").cast("int").alias(f"{col}_id"))
+
+
 # LBL-03 --------------------------------------------------------------------
 def encode_labels(df: DataFrame, label_dim: DataFrame, col: str = "intent",
-                  check: bool = False) -> DataFrame:
-    """Name -> id lookup. With ``check`` an unknown name raises (anti-join probe)."""
-    if check:
+                  unknown_labels: str = "raise") -> DataFrame:
+    """Name -> id lookup. An unknown name raises (anti-join probe), unless ``unknown_labels="drop"`` asks to drop its rows."""
+    if unknown_labels not in ("raise", "drop"):
+        raise ValueError(f"unknown_labels: {unknown_labels!r}")
+    if unknown_labels == "raise":
         unknown = df.select(col).join(label_dim, col, "left_anti").limit(1).collect()
         if unknown:
             raise UnknownLabelError(f"unknown label {unknown[0][0]!r}")
@@ -63,13 +73,22 @@ def route_split(key: Column) -> Column:
 
 # LBL-06 --------------------------------------------------------------------
 def domain_map_rows(spark: SparkSession, domain_to_intents: dict[str, Sequence[str]]) -> DataFrame:
-    """Declared ``{domain: [intents]}`` -> ``(domain, intent, pos)`` rows in declared order."""
-    rows, pos = [], 0
-    for d, intents in domain_to_intents.items():
-        for i in intents:
-            rows.append((d, i, pos))
-            pos += 1
-    return spark.createDataFrame(rows, "domain string, intent string, pos int")
+    """Declared ``{domain: [intents]}`` -> ``(domain, intent, pos)`` rows in declared order; a map over MAX_CLASSES raises,
+    see ``domain_map_in_order``."""
+    pairs = bounded([(d, i) for d, intents in domain_to_intents.items() for i in intents])
+    return spark.createDataFrame([(d, i, pos) for pos, (d, i) in enumerate(pairs)], "domain string, intent string, pos int")
+
+
+def domain_map_in_order(pairs: DataFrame) -> DataFrame:
+    """``domain_map_rows`` of a sorted table of distinct pairs, of any number."""
+    return numbered(pairs.select("domain", "intent"), "pos").select("domain", "intent", F.col("pos").cast("int").alias("pos"))
+
+
+def bounded(items: Sequence) -> Sequence:
+    """A declared list that goes into literals or a local table."""
+    if len(items) > MAX_CLASSES:
+        raise ValueError(f"{len(items)} declared entries; at most {MAX_CLASSES} fit a declared list")
+    return items
 
 
 # LBL-07 / LBL-08 -----------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.rand import draw
 from shotweave.operators.labels import sheet_key
+from shotweave.sources.tables import numbered
 
 
 class AnnotationMismatch(ValueError):
@@ -65,15 +66,13 @@ def shown_generators(df: DataFrame, attr: str = "attr") -> DataFrame:
 def blind_sheet(rows: DataFrame, intents: Sequence[str] | DataFrame, seed: str = "blind") -> DataFrame:
     """Rows of the chosen intents in keyed-shuffle order: ``line_no, text, label``.
 
-    ``line_no`` is the 1-based position in the shuffle, numbered by a range-
-    partitioned sort and ``zipWithIndex`` (no single-task window); the sheet
+    ``line_no`` is the 1-based position in the shuffle, numbered over a range-
+    partitioned sort (no single-task window); the sheet
     shows ``text`` and the answer key keeps ``label``."""
     from shotweave.operators.labels import keep_intents
     r = (keep_intents(rows, intents).withColumn("_k", draw(seed, F.col("row_id")))
          .orderBy("_k", "row_id").select("text", F.col("intent").alias("label")))
-    spark = rows.sparkSession
-    numbered = r.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0], x[0][1]))
-    return spark.createDataFrame(numbered, "line_no long, text string, label string")
+    return numbered(r, "line_no", start=1).select("line_no", "text", "label")
 
 
 # REP-05 / SRC-09 ---------------------------------------------------------------

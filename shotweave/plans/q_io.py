@@ -8,11 +8,11 @@ reader expects, then reads it back with the reader under test.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotweave.functions.text import STRIP_SQL
 from shotweave.operators.labels import label_dictionary
 from shotweave.operators.score import fit_scorer, relabel
 from shotweave.plans.catalog import register
@@ -23,6 +23,7 @@ from shotweave.plans.sqltext import K, with_corpus
 from shotweave.sources import readers as RD
 from shotweave.sources import sinks as SK
 from shotweave.sources.corpus import base_rows, corpus
+from shotweave.sources.tables import write_small
 from shotweave.streaming.incremental import incremental, read_sink, scratch_path
 
 KEY_SQL = "CASE WHEN intent = 'oos' THEN 'oos_' ELSE '' END || split"
@@ -41,8 +42,20 @@ def q_src01(spark, sf):
     return RD.read_split_jsonl(spark, path).select("split_key", "text", "intent", "split")
 
 
+@register("src01_read_split_json", with_corpus() + f"""
+SELECT {KEY_SQL} AS split_key, text, intent, split FROM corpus""")
+def q_src01s(spark, sf):
+    """Files of one JSON object each, {split key: [[text, intent], ...]}, of a few hundred rows."""
+    path = scratch_path(spark, "split-json")
+    pairs = _keyed(corpus(spark, sf)).withColumn("_file", F.pmod(F.xxhash64("text"), F.lit(64)))
+    objects = pairs.groupBy("_file", "split_key").agg(F.collect_list(F.array("text", "intent")).alias("pairs"))
+    text = F.to_json(F.map_from_arrays(F.array("split_key"), F.array("pairs")))
+    objects.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return RD.read_split_json(spark, path).select("split_key", "text", "intent", "split")
+
+
 @register("src02_read_parallel_lines", with_corpus() + """
-SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS line_no, trim(text) AS text, trim(intent) AS intent
+SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS line_no, """ + STRIP_SQL.format(x="text") + """ AS text, intent
 FROM corpus""")
 def q_src02(spark, sf):
     c = corpus(spark, sf).orderBy("row_id")
@@ -90,30 +103,16 @@ def q_src07(spark, sf):
 def _write_run_tree(spark, sf, root):
     runs, res = run_tables(spark, sf)
     res_j = (res.groupBy("folder").agg(F.collect_list(F.struct("scope", "key", "value")).alias("r")))
-    tree = runs.join(res_j, "folder", "left")
-
-    def write_part(rows):
-        for r in rows:
-            d = os.path.join(root, r["folder"])
-            os.makedirs(os.path.join(d, "code"), exist_ok=True)
-            exp = {"dataset": {"name": r["dataset"], "config": r["config"], "oos_id": r["oos_id"]},
-                   "exp_type": r["exp_type"], "gpt3_engine": r["engine"], "gpt3_temp": r["temp"],
-                   "run#": r["run"]}
-            with open(os.path.join(d, "exp_dict.json"), "w") as f:
-                json.dump(exp, f)
-            body: dict = {}
-            for e in r["r"] or []:
-                v = e["value"]
-                v = "NaN" if v != v else v
-                if e["scope"] is None:
-                    body[e["key"]] = v
-                else:
-                    body.setdefault(e["scope"], {})[e["key"]] = v
-            with open(os.path.join(d, "code", "results.json"), "w") as f:
-                f.write(json.dumps({"cfg": body}).replace('"NaN"', "NaN"))
-
-    # one task per group of folders writes its own files (a few KB each)
-    tree.repartition(8, "folder").foreachPartition(write_part)
+    # a few KB for each run folder, written one by one through the Hadoop API: any file system that Spark knows
+    for r in runs.join(res_j, "folder", "left").toLocalIterator():
+        exp = {"dataset": {"name": r["dataset"], "config": r["config"], "oos_id": r["oos_id"]},
+               "exp_type": r["exp_type"], "gpt3_engine": r["engine"], "gpt3_temp": r["temp"], "run#": r["run"]}
+        body: dict = {}
+        for e in r["r"] or []:
+            where = body if e["scope"] is None else body.setdefault(e["scope"], {})
+            where[e["key"]] = e["value"]  # json writes NaN as NaN
+        write_small(spark, f"{root}/{r['folder']}/exp_dict.json", json.dumps(exp))
+        write_small(spark, f"{root}/{r['folder']}/code/results.json", json.dumps({"cfg": body}))
 
 
 @register("src08_read_run_tree", RUNS_SQL + """

@@ -27,7 +27,7 @@ def q_lbl01(spark, sf):
 @register("lbl03_encode_labels", C + "SELECT b.row_id, b.intent, d.intent_id FROM base b JOIN dim d USING (intent)")
 def q_lbl03(spark, sf):
     rows = base_rows(spark, sf)
-    return L.encode_labels(rows, L.label_dictionary(rows), check=True).select("row_id", "intent", "intent_id")
+    return L.encode_labels(rows, L.label_dictionary(rows)).select("row_id", "intent", "intent_id")
 
 
 @register("lbl04_decode_labels", C + """
@@ -136,7 +136,7 @@ def _oos_id(spark, sf):
 @register("lbl16_filter_oos", C + f"SELECT row_id, intent_id, split FROM corpus WHERE intent_id <> {OOS_ID_SQL}")
 def q_lbl16(spark, sf):
     c = corpus(spark, sf)
-    return c.where(F.col("intent_id") != _oos_id(spark, sf)).select("row_id", "intent_id", "split")
+    return L.filter_oos(c, _oos_id(spark, sf)).select("row_id", "intent_id", "split")
 
 
 @register("lbl17_filter_oos_soft", """
@@ -151,7 +151,7 @@ def q_lbl17(spark, sf):
 @register("lbl18_extract_oos", C + f"SELECT row_id, text, split FROM corpus WHERE intent_id = {OOS_ID_SQL}")
 def q_lbl18(spark, sf):
     c = corpus(spark, sf)
-    return c.where(F.col("intent_id") == _oos_id(spark, sf)).select("row_id", "text", "split")
+    return L.extract_oos(c, _oos_id(spark, sf)).select("row_id", "text", "split")
 
 
 @register("lbl19_keep_intents", C + """
@@ -234,21 +234,14 @@ _ = draw  # re-exported for callers building their own keyed orders
 SELECT intent, CAST(row_number() OVER (ORDER BY n DESC, intent) - 1 AS INTEGER) AS intent_id
 FROM (SELECT intent, count(*) AS n FROM corpus GROUP BY intent) t""")
 def q_lbl02(spark, sf):
-    names = [r[0] for r in corpus(spark, sf).groupBy("intent").count()
-             .orderBy(F.desc("count"), "intent").collect()]
-    return L.label_dictionary_from_list(spark, names)
+    return L.label_dictionary_in_order(corpus(spark, sf).groupBy("intent").count().orderBy(F.desc("count"), "intent"))
 
 
 @register("lbl06_domain_map_rows", C + """
 SELECT domain, intent, CAST(row_number() OVER (ORDER BY domain, intent) - 1 AS INTEGER) AS pos
 FROM (SELECT DISTINCT domain, intent FROM corpus) t""")
 def q_lbl06(spark, sf):
-    pairs = (corpus(spark, sf).select("domain", "intent").distinct().orderBy("domain", "intent")
-             .collect())
-    declared: dict = {}
-    for d, i in pairs:
-        declared.setdefault(d, []).append(i)
-    return L.domain_map_rows(spark, declared)
+    return L.domain_map_in_order(corpus(spark, sf).select("domain", "intent").distinct().orderBy("domain", "intent"))
 
 
 @register("lbl08_single_domain", C + "SELECT row_id, 'banking' AS domain FROM corpus")

@@ -1,3 +1 @@
 """Readers, writers and the corpus derived from the given tables."""
-
-from shotweave.sources.corpus import corpus, load_table  # noqa: F401

@@ -6,11 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shotweave.functions.text import py_strip
 from shotweave.operators.labels import route_split
+from shotweave.sources.tables import durable
 
 SPLIT_JSON_TYPE = "map<string,array<array<string>>>"
 
@@ -41,19 +43,25 @@ def read_split_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 # SRC-02 ------------------------------------------------------------------------
 def read_line_file(spark: SparkSession, path: str, col: str) -> DataFrame:
-    """Lines with their global 0-based index, in file and offset order.
+    """Lines with their global 0-based index, in the order of file names and of lines in them, as ``line_no, <col>``.
 
-    The RDD text reader keeps Hadoop split order (glob results are sorted), and
-    ``zipWithIndex`` numbers lines across partitions without collecting them."""
-    rdd = spark.sparkContext.textFile(path).zipWithIndex()
-    return spark.createDataFrame(rdd.map(lambda x: (x[1], x[0])), f"line_no long, {col} string")
+    A line ends at ``\\n`` only. Files are read in splits of any assignment to tasks: rows are written with their split and
+    their place in it, and numbered by the counts of the splits before, a table of one row per split."""
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = durable(spark.read.option("lineSep", "\n").text(path)
+                   .select(F.col("value").alias(col), *split, F.monotonically_increasing_id().alias("_id")), "lines")
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (rows.groupBy("_file", "_block").agg(F.count("*").alias("c"), F.min("_id").alias("_first"))
+              .select("_file", "_block", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    return (rows.join(F.broadcast(splits), ["_file", "_block"])  # a row per split of the files
+            .select((F.col("_id") + F.col("_shift")).alias("line_no"), col))
 
 
 def read_parallel_lines(spark: SparkSession, text_path: str, label_path: str) -> DataFrame:
-    """Zip two line files by line number; both sides trimmed."""
+    """Zip two line files by line number; both sides stripped."""
     t = read_line_file(spark, text_path, "text")
     lab = read_line_file(spark, label_path, "intent")
-    return t.join(lab, "line_no").select("line_no", F.trim("text").alias("text"), F.trim("intent").alias("intent"))
+    return t.join(lab, "line_no").select("line_no", py_strip(F.col("text")).alias("text"), py_strip(F.col("intent")).alias("intent"))
 
 
 # SRC-03 ------------------------------------------------------------------------

@@ -15,7 +15,8 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from shotweave.session import checkpoint_dir
 
@@ -103,3 +104,21 @@ def read_small(spark: SparkSession, path: str) -> str:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
     finally:
         source.close()
+
+
+ROW_BITS = 33  # monotonically_increasing_id: partition above, row within it below
+
+
+def numbered(df: DataFrame, col: str, start: int = 0) -> DataFrame:
+    """``df`` with consecutive numbers from ``start`` on in its order (that of an ``orderBy``, or of its partitions).
+
+    The rows are written with partition and place; numbers are places plus the counts of the partitions before, a table of
+    one row per partition. All of it are built-in expressions."""
+    rows = durable(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", ROW_BITS)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (rows.groupBy(part.alias("_part")).agg(F.count("*").alias("c"))
+              .select("_part", (F.coalesce(F.sum("c").over(before), F.lit(0)) + start).alias("_before")))
+    place = F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)
+    return (rows.withColumn("_part", part).join(F.broadcast(counts), "_part")  # a row per task that wrote the table
+            .withColumn(col, F.col("_before") + place).drop("_part", "_before", "_place"))
