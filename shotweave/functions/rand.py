@@ -60,6 +60,20 @@ def stream(seeds: tuple[int, int], first: int, count: int) -> np.ndarray:
     return (z * z + i) % PRIME / PRIME
 
 
+def seed_columns(*keys) -> tuple[Column, Column]:
+    """``seed_pair`` of columns or literals."""
+    h = F.md5(F.concat_ws("|", *[_col(k) for k in keys]))
+    return tuple(F.conv(F.substring(h, at, 7), 16, 10).cast("long") for at in (1, 8))
+
+
+def stream_column(s1: Column, s2: Column, i: Column) -> Column:
+    """Draw ``i`` of the stream with the seeds ``s1, s2``."""
+    z = (s1 + (i + 1) * F.lit(STEP).cast("long")) % PRIME
+    z = (z * z + s2) % PRIME
+    z = (z * MIX + s1) % PRIME
+    return ((z * z + i) % PRIME).cast("double") / PRIME
+
+
 def seeds_sql(*keys: str) -> str:
     """SQL text of ``seed_pair`` as two columns ``s1, s2`` (keys are SQL expressions)."""
     h = "md5(concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "))"

@@ -86,11 +86,12 @@ def normalise_votes(votes: DataFrame, key: str = "row_key", label: str = "label"
 
 
 # MIX-05 ------------------------------------------------------------------------
-def soft_labels(rows: DataFrame, probs: DataFrame, num_labels, key: str = "row_key") -> DataFrame:
-    """Dense ``ARRAY<DOUBLE>`` per row from ``(key, label_id, p)``; all zeros without votes."""
+def soft_labels(rows: DataFrame, probs: DataFrame, num_labels, key: str = "row_key", voted_only: bool = False) -> DataFrame:
+    """Dense ``ARRAY<DOUBLE>`` per row from ``(key, label_id, p)``; without votes all zeros, or no row with ``voted_only``.
+    Only the votes are joined; the vector is made after that."""
     m = probs.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label_id", "p"))).alias("_m"))
     n = num_labels if isinstance(num_labels, Column) else F.lit(int(num_labels))
-    return (rows.join(m, key, "left")
+    return (rows.join(m, key, "inner" if voted_only else "left")
             .withColumn("label_vec", F.transform(F.sequence(F.lit(0), n - 1),
                                                  lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))))
             .drop("_m"))

@@ -7,8 +7,8 @@ rows x classes x vocabulary: a row's score for class ``c`` is
 
     ln prior_c - n_tok * ln(N_c + V) + sum over its tokens seen with c of ln(count + 1)
 
-so only the token-keyed join and one per-row array over the classes exist.
-Common tokens are hot join keys; AQE's skew-join handling splits them.
+so only the token-keyed join exists; a prediction compares the classes seen with the one
+that leads at the text's length. Common tokens are hot join keys; AQE's skew-join handling splits them.
 """
 
 from __future__ import annotations
@@ -115,14 +115,76 @@ def score_rows(df: DataFrame, model: NaiveBayesModel, key: str = "row_key",
 
 
 # PRD-04 ----------------------------------------------------------------------
-def predict(df: DataFrame, model: NaiveBayesModel, key: str = "row_key",
-            limit: int | None = None) -> DataFrame:
+def _fixed_stats(model: NaiveBayesModel) -> DataFrame:
+    """``intent_id, intent, lp, ld``: log prior and log denominator in whole 1e-9 parts."""
+    def parts(c):
+        return F.round(F.col(c) * SCORE_UNIT).cast("long")
+    return model.class_stats.select("intent_id", "intent", parts("log_prior").alias("lp"), parts("log_denom").alias("ld"))
+
+
+def envelope(lines: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The upper envelope over whole n >= 0 of the lines lp - n * ld, given as (id, lp, ld): ``(first n, id, lp, ld)`` by rising n;
+    of lines that meet at an n, the smallest id has it."""
+    out: list[tuple[int, int, int, int]] = []
+    best: dict[int, tuple[int, int]] = {}
+    for i, lp, ld in lines:  # of parallel lines the highest
+        if ld not in best or (-lp, i) < (-best[ld][0], best[ld][1]):
+            best[ld] = (lp, i)
+    for ld in sorted(best, reverse=True):  # flatter lines win further on
+        lp, i = best[ld]
+        start = 0
+        while out:
+            n0, j, lp0, ld0 = out[-1]
+            gap, slope = lp0 - lp, ld0 - ld  # ahead from n * slope > gap on; at equality the smaller id
+            start = max(0, -(-gap // slope) if gap % slope == 0 and i < j else gap // slope + 1)
+            if start > n0:
+                break
+            out.pop()
+        else:
+            start = 0
+        out.append((start, i, lp, ld))
+    return out
+
+
+def _best_unseen(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """``n_tok, line``: for every text length, the class ahead by prior and length alone, as ``struct(score, -id)``.
+
+    A class that another one beats by prior and by length never leads; those that none beats, few of them, go to the driver."""
+    before = Window.orderBy("ld", F.desc("lp"), "intent_id").rowsBetween(Window.unboundedPreceding, -1)
+    front = stats.withColumn("_top", F.max("lp").over(before)).where(F.col("_top").isNull() | (F.col("lp") > F.col("_top")))
+    lines = [(r.intent_id, r.lp, r.ld) for r in front.select("intent_id", "lp", "ld").limit(MAX_CLASSES + 1).collect()]
+    steps = envelope(lines)
+    if len(lines) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes that no other beats")
+    n = F.col("n_tok")
+    place = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(st, ("begin", "id", "lp", "ld"))]) for st in steps])
+    lead = F.element_at(F.filter(place, lambda x: x["begin"] <= n), -1)
+    return (rows.select("n_tok").distinct().select("n_tok", lead.alias("_l"))
+            .select("n_tok", F.struct((F.col("_l.lp") - n * F.col("_l.ld")).alias("score"), (-F.col("_l.id")).alias("id")).alias("line")))
+
+
+def predict_keys(df: DataFrame, model: NaiveBayesModel, key: str = "row_key", limit: int | None = None) -> DataFrame:
+    """``key, pred_id, pred``: the first class of the highest score, of any number of classes.
+
+    A class whose tokens a text has scores above its line lp - n * ld, so the best of all classes is the best of those seen
+    and of the one line that leads at the text's length: no row is scored for every class."""
+    stats = _fixed_stats(model)
+    rows = tokenize(df.select(key, "text"), limit=limit).select(key, F.size("tokens").cast("long").alias("n_tok"), "tokens")
+    part = F.sum(F.round(F.log(F.col("cnt") + 1.0) * SCORE_UNIT).cast("long")).alias("s")
+    seen = (rows.select(key, "n_tok", F.explode("tokens").alias("token")).join(model.token_counts, "token")
+            .groupBy(key, "n_tok", "intent_id").agg(part).join(stats.drop("intent"), "intent_id"))
+    score = F.struct((F.col("lp") - F.col("n_tok") * F.col("ld") + F.col("s")).alias("score"), (-F.col("intent_id").cast("long")).alias("id"))
+    best = seen.groupBy(key).agg(F.max(score).alias("best"))
+    lead = rows.select(key, "n_tok").join(_best_unseen(rows, stats), "n_tok")
+    top = lead.join(best, key, "left").select(key, F.greatest("line", "best").alias("top"))
+    return (top.select(key, (-F.col("top.id")).cast("int").alias("pred_id"))
+            .join(stats.select(F.col("intent_id").alias("pred_id"), F.col("intent").alias("pred")), "pred_id")
+            .select(key, "pred_id", "pred"))
+
+
+def predict(df: DataFrame, model: NaiveBayesModel, key: str = "row_key", limit: int | None = None) -> DataFrame:
     """Adds ``pred_id`` and ``pred`` (first maximum, numpy argmax semantics)."""
-    s = score_rows(df, model, key, limit)
-    idx = argmax(F.col("scores")) + 1
-    return (s.withColumn("pred_id", F.element_at("_ids", idx).cast("int"))
-            .withColumn("pred", F.element_at("_names", idx))
-            .drop("_ids", "_names", "n_tok"))
+    return df.join(predict_keys(df, model, key, limit), key)
 
 
 # PRD-01 ----------------------------------------------------------------------
@@ -164,8 +226,7 @@ def relabel(pool: DataFrame, model: NaiveBayesModel, done: DataFrame | None = No
     if dedupe:
         # a digest stands for the text in the joins: no token row or prediction carries it
         keyed = pool.withColumn("_digest", F.sha2("text", 256))
-        scored = predict(keyed.select("_digest", "text").dropDuplicates(["_digest"]), model, key="_digest")
-        p = keyed.join(scored.select("_digest", "pred_id", "pred"), "_digest")
+        p = keyed.join(predict_keys(keyed.select("_digest", "text").dropDuplicates(["_digest"]), model, key="_digest"), "_digest")
     else:
         p = predict(pool, model, key="row_key")
     return p.select(*cols, F.col("pred_id").alias("intent_id"), F.col("pred").alias("intent"))
@@ -204,18 +265,20 @@ def vote_filter(rows: DataFrame, votes: DataFrame, key: str = "row_id"):
 
 
 # PRD-10 ----------------------------------------------------------------------
+# Prompt wording.
+CATEGORY_HEADER = ("Each example in the following list contains a sentence that belongs to a "
+                   "category. A category is one of the following: ")
+
+
 def classification_prompt(seeds: DataFrame, categories: list[str]) -> Column:
-    """Header with categories plus seed lines; seeds are a bounded set (few per class)."""
-    header = ("Each example in the following list contains a sentence that belongs to a "
-              "category. A category is one of the following: " + ", ".join(categories))
-    rows = seeds.select("intent", "text").orderBy("intent", "text").collect()
+    """Header with categories plus seed lines; a prompt holds at most MAX_CLASSES seeds, more raise."""
+    header = CATEGORY_HEADER + ", ".join(categories)
+    rows = seeds.select("intent", "text").orderBy("intent", "text").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} seeds for one prompt")
     body = "\n".join(f"sentence: {t} ; category: {i}" for i, t in rows)
     return F.lit(header + "\n\n" + body + "\n")
 
 
 def classification_query(prefix: Column, text: Column) -> Column:
     return F.concat(prefix, F.lit("sentence: "), text, F.lit(" ; category:"))
-
-
-def rank_window(key: str, order: str) -> Window:
-    return Window.partitionBy(key).orderBy(order)

@@ -38,7 +38,7 @@ def corpus_thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_scorer(spark: SparkSession, sf_dir: str):
     """The scorer fitted on the corpus train split, stored as tables per input version."""
-    return fit_scorer_table(spark, "nb50", corpus_inputs(sf_dir),
+    return fit_scorer_table(spark, "scorer", corpus_inputs(sf_dir),
                             lambda: corpus(spark, sf_dir).where(F.col("split") == "train"))
 
 

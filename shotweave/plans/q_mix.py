@@ -9,26 +9,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotweave.functions.rand import draw, draw_sql
+from shotweave.functions.rand import draw_sql, seed_columns, seeds_sql, stream_column, stream_sql
 from shotweave.functions.text import STRIP_SQL
 from shotweave.operators import mix as X
-from shotweave.operators.labels import label_dictionary
 from shotweave.operators.sample import few_shot_train
 from shotweave.plans.catalog import register
 from shotweave.plans.sqltext import K, SEEDS_SQL, with_corpus
 from shotweave.session import MAX_CLASSES
-from shotweave.sources.corpus import base_rows, corpus
+from shotweave.sources.corpus import corpus
+from shotweave.sources.tables import durable
 
 LABS_SQL = ", labs AS (SELECT intent, intent_id FROM dim WHERE intent <> 'oos')"
 
 
 def _labels(spark, sf):
-    dim = label_dictionary(base_rows(spark, sf))
-    names = [r[0] for r in dim.where(F.col("intent") != "oos").orderBy("intent_id")
+    """The label dictionary, as the corpus has it."""
+    return corpus(spark, sf).select("intent", "intent_id").distinct()
+
+
+def _label_names(spark, sf):
+    names = [r[0] for r in _labels(spark, sf).where(F.col("intent") != "oos").orderBy("intent_id")
              .limit(MAX_CLASSES + 1).collect()]
     if len(names) > MAX_CLASSES:
         raise ValueError("too many labels for a mixing prompt")
-    return dim, names
+    return names
 
 
 @register("mix01_mix_prompt", with_corpus(SEEDS_SQL) + LABS_SQL + f"""
@@ -53,8 +57,7 @@ SELECT s.row_id, s.intent, s.intent_id,
 FROM seeds s LEFT JOIN body b USING (row_id)""")
 def q_mix01(spark, sf):
     c = corpus(spark, sf)
-    _, names = _labels(spark, sf)
-    return X.mix_prompts(few_shot_train(c, K), names, K)
+    return X.mix_prompts(few_shot_train(c, K), _label_names(spark, sf), K)
 
 
 COMP_SQL = with_corpus() + LABS_SQL + f"""
@@ -75,8 +78,8 @@ COMP_SQL = with_corpus() + LABS_SQL + f"""
   SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z\\s]') AS tokens FROM parsed
   WHERE gen_text IS NOT NULL AND gen_text <> ''
 ), probs AS (
-  SELECT *, list_transform(tokens, lambda t, i: -{draw_sql('lp', 'request_id', 'choice_idx', 'i - 1')}) AS token_logprobs
-  FROM toks
+  SELECT *, list_transform(tokens, lambda t, i: -{stream_sql('i - 1')}) AS token_logprobs
+  FROM (SELECT *, {seeds_sql("'lp'", "request_id", "choice_idx")} FROM toks) t
 ), labelled AS (
   SELECT request_id, choice_idx, gen_text, pred_label,
          CASE WHEN list_position(tokens, ')') > 0
@@ -107,15 +110,17 @@ def completions(spark, sf):
 def labelled_completions(spark, sf):
     p = X.parsed_completions(completions(spark, sf))
     toks = p.withColumn("tokens", F.regexp_extract_all("text", F.lit("[A-Za-z]+|[^A-Za-z\\s]"), 0))
-    lp = F.transform("tokens", lambda t, i: -draw("lp", F.col("request_id"), F.col("choice_idx"), i))
+    s1, s2 = seed_columns("lp", F.col("request_id"), F.col("choice_idx"))
+    toks = toks.withColumn("_s1", s1).withColumn("_s2", s2)
+    lp = F.transform("tokens", lambda t, i: -stream_column(F.col("_s1"), F.col("_s2"), i.cast("long")))
     return (toks.withColumn("token_logprobs", lp)
             .withColumn("prob", X.label_probability(F.col("tokens"), F.col("token_logprobs"))))
 
 
-def _votes(spark, sf):
-    dim = label_dictionary(base_rows(spark, sf)).where(F.col("intent") != "oos")
+def _votes(spark, sf, lc=None):
+    dim = _labels(spark, sf).where(F.col("intent") != "oos")
     lab = dim.select(F.lower("intent").alias("pred_label"), F.col("intent_id").alias("label_id"))
-    lc = labelled_completions(spark, sf)
+    lc = lc if lc is not None else labelled_completions(spark, sf)
     return (lc.join(lab, "pred_label").where(F.col("prob").isNotNull())
             .select(F.col("request_id").alias("row_key"), "label_id", "prob"))
 
@@ -146,7 +151,7 @@ N_SQL = "(SELECT count(*) FROM dim)"
 SELECT r.row_key, list_transform(range({N_SQL}), lambda i: round(coalesce(m.m[i], 0.0), 9)) AS label_vec
 FROM rows r LEFT JOIN m USING (row_key)""")
 def q_mix05(spark, sf):
-    n = label_dictionary(base_rows(spark, sf)).count()
+    n = _labels(spark, sf).count()
     rows = completions(spark, sf).select(F.col("request_id").alias("row_key")).distinct()
     probs = X.normalise_votes(_votes(spark, sf), label="label_id")
     out = X.soft_labels(rows, probs, n)
@@ -169,13 +174,12 @@ MIXED_SQL = COMP_SQL + SEEDS_SQL.format(k=K) + f"""
 
 @register("mix06_mix_dataset", MIXED_SQL + "SELECT * FROM mixed")
 def q_mix06(spark, sf):
-    n = label_dictionary(base_rows(spark, sf)).count()
     c = corpus(spark, sf)
-    probs = X.normalise_votes(_votes(spark, sf), label="label_id")
-    voted = probs.select("row_key").distinct()
-    soft = X.soft_labels(voted, probs, n).withColumn(
-        "label_vec", F.transform("label_vec", lambda x: F.round(x, 9)))
-    mixed = (labelled_completions(spark, sf).join(soft, F.col("request_id") == F.col("row_key"))
-             .select(F.col("gen_text").alias("text"), "label_vec"))
+    n = _labels(spark, sf).count()
+    # parsed once: the votes and the rows that they label both read the written table
+    lc = durable(labelled_completions(spark, sf).select(F.col("request_id").alias("row_key"), F.col("request_id"), F.col("gen_text").alias("text"),
+                                                        "pred_label", "prob"), "labelled")
+    votes = X.normalise_votes(_votes(spark, sf, lc), label="label_id").withColumn("p", F.round("p", 9))
+    mixed = X.soft_labels(lc.select("row_key", "text"), votes, n, voted_only=True)
     oos = c.where((F.col("intent") == "oos") & (F.col("split") == "train"))
     return X.mix_dataset(few_shot_train(c, K), mixed, oos, n)
