@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave.session import checkpoint_dir
+from shotweave.sources.tables import file_system
 
 #: Sides with at most this many rows (of a few longs each) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -28,15 +30,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Helper tables written within ``recorded``, until ``drop_helpers`` deletes them.
+_HELPERS: list[str] = []
+_RECORDING = [False]
+
+
+@contextmanager
+def recorded():
+    """Helper tables that ``durable`` writes meanwhile are noted down for ``drop_helpers``."""
+    _RECORDING[0] = True
+    try:
+        yield
+    finally:
+        _RECORDING[0] = False
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: lineage ends at a table
     that survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/shotweave-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _RECORDING[0]:
+        _HELPERS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_helpers(docs: DataFrame) -> None:
+    """Deletes the recorded helper tables, but those that ``docs`` reads. For callers that have written down the results
+    they were for."""
+    spark = docs.sparkSession
+    used = "\n".join(docs.inputFiles())
+    kept = []
+    while _HELPERS:
+        path = _HELPERS.pop()
+        if path.rsplit("/", 1)[-1] in used:
+            kept.append(path)
+        else:
+            fs, p = file_system(spark, path)
+            fs.delete(p, True)
+    _HELPERS.extend(kept)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def semi_join(big: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``big`` whose key is in ``ids`` (durable): broadcast when the counted rows allow it,
     else an ordinary shuffled semi join."""

@@ -8,11 +8,11 @@ written to the shared folder).
 candidates. Each member is first checked against two of its bucket's nodes only: the most
 central one and the one with the smallest set. What the links found so far connect needs
 no more checks. Small buckets that are still open are compared pair by pair. The nodes of
-large open buckets hold mostly items that very many sets have (a common passage), and a
-pair of them that is linked either shares one of its rarer items, or has as many frequent
-items in common as the link needs. For the first case such nodes are dealt anew by their
-rarer items, as many as a prefix needs in which two linked sets must meet; for the second,
-pairs of the bucket are compared whose numbers of frequent items suffice for their sizes.
+large open buckets are dealt anew by single items: these are counted over all such nodes,
+exactly, and each node takes its rarest ones, as many as a linked set must share one of. So
+a passage that very many sets hold gathers no bucket, unless sets hold little else. Two
+nodes of such a bucket meet only if the item stands early enough in both sets' orders to leave
+as many items after it as a link of their sizes needs.
 Parity sketches bound the symmetric difference from below and drop most candidates; exact
 Jaccard decides the rest. Every true link either is found or joins two nodes already
 connected: the components are exact.
@@ -20,12 +20,10 @@ connected: the components are exact.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import durable, mix64
+from shotweave.llm.common import durable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,6 +79,11 @@ def _fold(x, size):
                                                lambda p, q: p.bitwiseXOR(q))).otherwise(x)
 
 
+def _every_fourth(i: int):
+    """A parity sketch of 64-bit words folded to four of them: word ``i``."""
+    return F.aggregate(F.filter("sketch", lambda _, at: at % 4 == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
 def near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b, na, nb)`` whose sketches ``(node, sketch)`` don't rule out a link: the Hamming distance
     bounds the symmetric difference from below, which is at most (1-J)/(1+J) of the summed sizes."""
@@ -92,23 +95,20 @@ def near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-#: Open buckets of at most so many nodes are compared pair by pair. Items counted so often are frequent.
-SMALL, FREQUENT = 24, 32
-#: Sets of which rare items are taken at a time.
-RARE_ROWS = 512
+#: Open buckets of at most so many nodes are compared pair by pair.
+SMALL = 24
 
 
-def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent: int,
-                      rarity: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame]:
     """(components ``(node, label)``, verified links ``(a, b)``) of nodes that share a token.
 
     ``tokens(token, node, n)``: durable, tokens that several nodes have; n: the set's size.
     ``sketches(node, sketch)``: durable parity sketches, a power of two of bits, at least one for each item.
     ``sets_of(ids)``: the sets ``(node, items)`` of the nodes in ``ids(node)``.
-    ``rarity``: counts by the items' leading bits; its size is a power of two.
     """
     kind = tokens.schema["node"].dataType.simpleString()
     links = label = None
+    folds = durable(sketches.select("node", *[_every_fourth(i).alias(f"f{i}") for i in range(4)]), "folds")
 
     def check(pairs):
         nonlocal links, label
@@ -124,19 +124,27 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
         """Rows of tokens whose nodes still lie in different components."""
         own = rows if label is None else rows.join(label, "node", "left")
         own = own.withColumn("comp", F.coalesce("label", "node") if label is not None else F.col("node"))
-        w = Window.partitionBy("token")
-        return (own.withColumn("c1", F.min("comp").over(w)).withColumn("c2", F.max("comp").over(w))
-                .where("c1 != c2").select("token", "node", "n", "score", "comp"))
+        own = durable(own.select("token", "node", "n", "score", "place", "comp"), "rows")
+        some = own.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("token")
+        return own.join(some, "token")
 
     def compare(rows):
-        x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("hot").alias("ha"))
-        y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("hot").alias("hb"))
-        enough = (100 + percent) * F.least("ha", "hb") >= percent * (F.col("na") + F.col("nb"))
-        check(x.join(y, "token").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & enough & _sizes_fit(percent))
+        def side(end):
+            names = {"node": end, "n": f"n{end}", "comp": f"c{end}", "place": f"p{end}"} | {f"f{i}": f"f{i}{end}" for i in range(4)}
+            return own.select("token", *[F.col(c).alias(to) for c, to in names.items()])
+
+        own = rows.join(folds, "node")
+        # the first item that a linked pair shares leaves enough for the others in both
+        after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+        enough = (100 + percent) * after >= percent * (F.col("na") + F.col("nb"))
+        apart = sum(F.bit_count(F.col(f"f{i}a").bitwiseXOR(F.col(f"f{i}b"))) for i in range(4))
+        near = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
+        check(side("a").join(side("b"), "token")
+              .where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & enough & near & _sizes_fit(percent))
               .select("a", "b", "na", "nb"))
 
     def stars(rows):
-        """Checks each node against two of its bucket's; the rows still open, with the bucket's former size ``m``."""
+        """Checks each node against two of its bucket's; the rows still open without those two, with the bucket's size ``m``."""
         hubs = durable(rows.groupBy("token").agg(
             F.max(F.struct("score", "node", "n", "comp")).alias("mid"), F.min(F.struct("n", "node", "comp")).alias("low"),
             F.count("*").alias("m")), "hubs")
@@ -145,53 +153,31 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
             F.struct("mid.node", "mid.n", "mid.comp"), F.struct("low.node", "low.n", "low.comp"))).alias("hub"))
             .where("comp != hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"),
                                               F.col("hub.n").alias("nb")))
-        left = open_rows(both.where("node != low.node").select("token", "node", "n", "score"))
-        return durable(left.join(hubs.select("token", "m", F.col("low.node").alias("h")), "token"), "open")
+        left = open_rows(both.where("node != low.node and node != mid.node").select("token", "node", "n", "score", "place"))
+        return durable(left.join(hubs.select("token", "m"), "token"), "open")
 
     score = tokens.groupBy("node").agg((F.count("*") / F.first("n")).alias("score"))
-    left = stars(durable(open_rows(tokens.join(score, "node")), "open"))
+    left = stars(durable(open_rows(tokens.join(score, "node").withColumn("place", F.lit(0).cast("long"))), "open"))
     # any pair of a small bucket, whatever its items
-    compare(left.where(F.col("m") <= SMALL).withColumn("hot", F.col("n") * 2))
-    large = left.where(F.col("m") > SMALL)
-    nodes = durable(large.select("node", "n", "score").distinct(), "nodes")
+    compare(left.where(F.col("m") <= SMALL))
+    nodes = durable(left.where(F.col("m") > SMALL).select("node", "n", "score").distinct(), "nodes")
     if nodes.limit(1).count():
-        split = durable(_rare_items(nodes.join(sets_of(nodes.select("node")), "node"), kind, percent, rarity), "split")
-        again = open_rows(split.select(F.explode("rare").alias("token"), "node", "n", "score"))
-        compare(stars(durable(again, "open")).withColumn("hot", F.col("n") * 2))
-        # pairs meet once for each smallest node of their buckets, not for every token
-        by_hub = large.select(F.col("h").alias("token"), "node", "n", "score").distinct()
-        compare(open_rows(by_hub).join(split.where(F.col("hot") * 100 >= F.col("n") * percent).select("node", "hot"), "node"))
+        sets = durable(nodes.join(sets_of(nodes.select("node")), "node"), "open-sets")
+        compare(stars(durable(open_rows(_rarest_items(sets, percent)), "open")))
     if links is None:
         links = tokens.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
         label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return label, links
 
 
-def _rare_items(sets: DataFrame, kind: str, percent: int, rarity: np.ndarray) -> DataFrame:
-    """Of ``sets(node, n, score, items)``: the number ``hot`` of frequent items and the first ``rare`` others, the rarest
-    first, one more than a linked set can differ by."""
-    shared = sets.sparkSession.sparkContext.broadcast(rarity)
-    shift = np.uint64(64 - (len(rarity).bit_length() - 1))
-
-    def run(batches):
-        rank = shared.value
-        for whole in batches:
-            for from_row in range(0, whole.num_rows, RARE_ROWS):  # small batches out
-                b = whole.slice(from_row, RARE_ROWS)
-                hot, rare = [], []
-                items = b.column("items")
-                for i, n in enumerate(b.column("n").to_pylist()):
-                    x = items[i].values.to_numpy().view(np.uint64)
-                    seen = rank[(x >> shift).astype(np.int64)]
-                    often = seen >= FREQUENT
-                    hot.append(int(often.sum()))
-                    x, seen = x[~often], seen[~often]
-                    differ = (100 - percent) * (n + n * 100 // percent) // (100 + percent)
-                    rare.append(mix64(x[np.lexsort((x, seen))[:differ + 1]]).view(np.int64))
-                at = pa.array(np.cumsum([0] + [len(r) for r in rare]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "n", "score")] + [
-                    pa.array(hot, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rare)))],
-                    ["node", "n", "score", "hot", "rare"])
-
-    return sets.select("node", "n", "score", "items").mapInArrow(
-        run, f"node {kind}, n long, score double, hot long, rare array<long>")
+def _rarest_items(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, score, place``: of ``sets(node, n, score, items)``, the items by which linked sets meet. In one order of all
+    items, by their number of sets and then by value, two linked sets share one of each one's first n - ceil(n * percent / 100) + 1
+    items; those that only one set has are passed over."""
+    each = durable(sets.select("node", "n", "score", F.explode("items").alias("token")), "items")
+    counts = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("c", "token")) + F.col("n") - F.count("*").over(own)  # from 1, in the whole set
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return (each.join(counts, "token").withColumn("place", place).where(F.col("place") <= first)
+            .select("token", "node", "n", "score", F.col("place").cast("long").alias("place")))

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.llm.common import (chunks, durable, list_array, mix64, semi_join, shingles, signed, text_buffer,
@@ -210,10 +210,11 @@ def item_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """Rows ``(token, k, n)`` of tokens that at least two different keys have, without repeats."""
-    w = Window.partitionBy("token")
-    return (tokens.withColumn("lo", F.min("k").over(w)).withColumn("hi", F.max("k").over(w)).where("lo < hi")
-            .select("token", "k", "n").distinct())
+    """Rows ``(token, k, n)`` of tokens that at least two different keys have, without repeats. The test of a token is an
+    aggregate, so a token of very many rows is reduced before it is dealt out."""
+    some = durable(tokens.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token"),
+                   "shared-tokens")
+    return semi_join(tokens, some, "token").select("token", "k", "n").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -223,14 +224,14 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     freq = frequencies(docs, lambda column: each_set(column, shingle))
     rows = durable(sketch_rows(docs, freq, shingle, percent), "sketches")
-    of = _classes(docs, rows, freq, shingle, percent)
+    of = _classes(docs, rows, shingle, percent)
     # sets that several rows share are joined on the set; the class of any other set is that of its only row
     return rows.select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _classes(docs: DataFrame, rows: DataFrame, freq: np.ndarray, shingle: int, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``(k1, k2, component_id)`` of every set. A node is a set, named by its smallest doc_id; where one doc_id
     has rows with different sets, the empty one included, by its key instead."""
     used = rows.where("n > 0 and doc_id is not null")
@@ -255,7 +256,7 @@ def _classes(docs: DataFrame, rows: DataFrame, freq: np.ndarray, shingle: int, p
         keyed = keyed_sets(semi_join(docs.where("doc_id is not null"), wanted, "doc_id"), shingle)
         return keyed.join(ids, "node", "left_semi").dropDuplicates(["node"])
 
-    label, _ = linked_components(shared, sketches, sets_of, percent, freq)
+    label, _ = linked_components(shared, sketches, sets_of, percent)
     named = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if not twice:
         return durable(named.select("k1", "k2", F.col("label").alias("component_id")), "classes")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import BROADCAST_ROWS, durable
+from shotweave.llm.common import BROADCAST_ROWS, durable, free_name
 
 #: Registers of the sketches as a power of two (standard error about 1.6 %); estimates within this share
 #: of the threshold, more than six standard errors, are counted exactly.
@@ -55,21 +55,27 @@ def wide_lines(docs: DataFrame, min_sites: int, site: str = "source", text: str
 def remove_site_lines(docs: DataFrame, min_sites: int = 10, site: str = "source", text: str = "text",
                       counts: bool = False) -> DataFrame:
     """``docs`` with lines on ``min_sites`` sites or more removed from ``text``; with ``counts`` also the columns
-    ``n_lines long, removed array<long>`` (0-based places of removed lines)."""
+    ``n_lines long, removed array<long>`` (0-based places of removed lines), in place of input columns of these names."""
+    row, gone = free_name(docs, "__row"), free_name(docs, "__gone")
     wide = _checked(wide_lines(docs, min_sites, site, text))
     # a row's key is its content: equal texts lose the same lines, and the same places merge before the shuffle
     content = F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.col(text), F.lit(1)).alias("y"))
-    lines = docs.select(content.alias("__row"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
-    hit = lines.select("__row", "i", line_hash(trimmed(F.col("line"))).alias("h")).join(wide, "h", "left_semi")
-    gone = durable(hit.groupBy("__row").agg(F.sort_array(F.collect_set(F.col("i").cast("long"))).alias("__gone")), "places")
-    out = docs.withColumn("__row", content).join(_checked(gone), "__row", "left")
-    places = F.coalesce("__gone", F.array().cast("array<long>"))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"),
-                                 lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("long"))), "\n")
+    # the key before the lines: beside a generator it would be computed for every line, over the whole text
+    lines = docs.select(content.alias("k"), F.split(F.col(text), "\n").alias("ls")).select("k", F.posexplode("ls").alias("i", "line"))
+    hit = lines.select("k", "i", line_hash(trimmed(F.col("line"))).alias("h")).join(wide, "h", "left_semi")
+    places = durable(hit.groupBy(F.col("k").alias(row)).agg(F.sort_array(F.collect_set(F.col("i").cast("long"))).alias(gone)), "places")
+    out = docs.withColumn(row, content).join(_checked(places), row, "left")
+    # the places that stay are a difference of sets, so a text of many lines takes time in proportion
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0).cast("long"), F.size(ls).cast("long") - 1), F.col(gone))
+    kept = F.get(F.transform(F.array(F.split(F.col(text), "\n")), lambda ls: F.array_join(
+        F.transform(stay(ls), lambda i: F.get(ls, i.cast("int"))), "\n")), F.lit(0))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
+    columns = {c: F.col(c) for c in docs.columns} | {text: new.alias(text)}
     if counts:
-        out = out.withColumn("n_lines", F.when(F.length(text) > 0, F.size(F.split(F.col(text), "\n"))).otherwise(0)
-                             .cast("long")).withColumn("removed", places)
-    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).drop("__gone", "__row")
+        n = F.when(F.length(text) > 0, F.size(F.split(F.col(text), "\n"))).otherwise(0)
+        columns |= {"n_lines": n.cast("long").alias("n_lines"),
+                    "removed": F.coalesce(gone, F.array().cast("array<long>")).alias("removed")}
+    return out.select(*columns.values())
 
 
 def _checked(small: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ passages (of its best segment if none counts); an isotonic fit on the labelled d
 into a score from 0 to 1.
 
 The labelled rows used for fitting are bounded by ``max_labelled`` (a share of them, chosen by hash of
-the id, where there are more), the vocabulary by ``max_features``; all documents are scored whole.
+the id, where there are more), and by that the vocabulary: every word and prefix that toxic ones of them hold three times or
+more; rarer words have the odds of their stem. All documents are scored whole, and fitted and scored by the same evidence.
 
 Defined results: null and empty texts hold no passage and get the score of no evidence; labels that
 are null count as missing, repeated labels of a doc_id as their maximum; without toxic or without
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import chunks, list_array, mix64, signed, span_hashes, text_buffer, word_spans
+from shotweave.llm.common import chunks, durable, list_array, mix64, signed, span_hashes, text_buffer, word_spans
 
 #: Bytes that end a word: all of ASCII but letters and digits.
 BREAKS = np.ones(256, bool)
@@ -126,7 +127,7 @@ def _training(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
         F.broadcast(labels), "doc_id").select("text", "toxic")
 
 
-def _toxic_keys(train: DataFrame, max_features: int):
+def _toxic_keys(train: DataFrame):
     """(hash, parent's hash, count) of the words and prefixes that toxic documents hold three times or more, and
     the number of toxic words."""
 
@@ -144,8 +145,7 @@ def _toxic_keys(train: DataFrame, max_features: int):
                     ["key", "parent", "n"])
 
     rows = (train.where("toxic = 1").select("text").mapInArrow(run, "key long, parent long, n long")
-            .groupBy("key").agg(F.max("parent").alias("parent"), F.sum("n").alias("n")).where("n >= 3 or key = 0")
-            .orderBy(F.col("key") != 0, F.desc("n"), "key").limit(max_features + 1).toPandas())
+            .groupBy("key").agg(F.max("parent").alias("parent"), F.sum("n").alias("n")).where("n >= 3 or key = 0").toPandas())
     zero = rows["key"] == 0
     rest = rows[~zero]
     return (rest["key"].to_numpy(np.int64).view(np.uint64), rest["parent"].to_numpy(np.int64).view(np.uint64),
@@ -192,11 +192,10 @@ def _odds(keys, parent, n1, n0, total1, total0):
     return rho
 
 
-def fit_segments(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, max_features: int = 200_000,
-                 max_e: float = 0.05) -> SegmentModel:
+def fit_segments(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, max_e: float = 0.05) -> SegmentModel:
     """The model of ``labels(doc_id, toxic)`` over ``docs(doc_id, text)``."""
     train = _training(docs, labels, max_labelled)
-    keys, parent, n1, total1 = _toxic_keys(train, max_features)
+    keys, parent, n1, total1 = _toxic_keys(train)
     order = np.argsort(keys)
     keys, parent, n1 = keys[order], parent[order], n1[order]
     n0, total0 = _clean_counts(train, keys)
@@ -213,31 +212,38 @@ def fit_segments(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000
                 first, score = word_scores(table, w, seen, data, offsets[i:j + 1])
                 for t in range(j - i):
                     s = score[first[t]:first[t + 1]]
-                    found = sorted((x[2] for x in maximal_segments(s)), reverse=True)
-                    best.append(found[0] if found else 0.0)
-                    parts.append(np.array(found[:64]))
+                    parts.append(np.array([x[2] for x in maximal_segments(s)]))
+                    best.append(parts[-1].max(initial=0.0))
                     size.append(len(s))
                     up = np.round(s[s > 0] * 10).astype(np.int64)
                     hist.append(np.r_[len(s) - len(up), np.bincount(up, minlength=int(CLIP * 10) + 1)])
             both = [h for h, t in zip(hist, toxic, strict=True) if t == 0]
             total = np.sum(both, axis=0) if both else np.zeros(int(CLIP * 10) + 2, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic, pa.int32()), pa.array(size, pa.int64()),
+                [pa.array(toxic, pa.int32()), pa.array(size, pa.int64()), pa.array(best, pa.float64()),
                  list_array(np.concatenate(parts) if parts else np.zeros(0), np.array([len(p) for p in parts], np.int64), pa.float64()),
                  pa.array([total.tolist()] + [None] * (len(size) - 1) if size else [], pa.list_(pa.int64()))],
-                ["toxic", "m", "found", "hist"])
+                ["toxic", "m", "best", "found", "hist"])
 
-    # one short row for each labelled document: bounded by max_labelled
-    rows = train.mapInArrow(run, "toxic int, m long, found array<double>, hist array<long>").toPandas()
+    # a row for each labelled document with all its segments; what the driver gets of each is a few numbers
+    fitted = durable(train.mapInArrow(run, "toxic int, m long, best double, found array<double>, hist array<long>"), "segments")
+    rows = fitted.select("toxic", "m", "best", "hist").toPandas()
     hists = [np.asarray(h) for h in rows["hist"] if h is not None]
     lam = _lambda(np.sum(hists, axis=0) if hists else np.zeros(1))
     m = np.maximum(rows["m"].to_numpy(float), 1)
-    best = np.array([x[0] if len(x) else 0.0 for x in rows["found"]])
+    best = rows["best"].to_numpy(float)
     clean = (rows["toxic"] == 0).to_numpy()
     k = float(clean.sum() / max((m[clean] * np.exp(-lam * best[clean])).sum(), 1e-9)) if clean.any() else 1.0
     k = min(max(k, 1e-9), 1.0)
-    x = np.array([_evidence(np.asarray(f, float), n, lam, k, max_e) for f, n in zip(rows["found"], rows["m"], strict=True)])
-    at, rate = _isotonic(x, ~clean)
+
+    def evidence(batches):
+        for b in batches:
+            found, size = b.column("found"), b.column("m").to_pylist()
+            x = [_evidence(found[i].values.to_numpy(), n, lam, k, max_e) for i, n in enumerate(size)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.float64())], ["toxic", "x"])
+
+    rows = fitted.select("toxic", "m", "found").mapInArrow(evidence, "toxic int, x double").toPandas()
+    at, rate = _isotonic(rows["x"].to_numpy(float), (rows["toxic"] != 0).to_numpy())
     return SegmentModel(keys, weights, lam, k, at, rate, max_e)
 
 
@@ -322,4 +328,4 @@ def score_toxicity(docs: DataFrame, model: SegmentModel) -> DataFrame:
 
 def held_out(doc_id) -> F.Column:
     """Rows that labels are never learnt from."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -414,3 +414,81 @@ def test_pipeline_decides_row_by_row(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in got if r.start == 0) == want
     assert sum(r.length for r in got) == sum(n for *_, n in want)
+
+
+def test_site_lines_keep_columns_of_any_name(spark):
+    rows = [(i, f"same line\nown {i}", f"s{i % 12}", i, "g", 7, "r", 1) for i in range(24)]
+    rows += [(99, None, None, 0, "g", 7, "r", 1), (98, "", "s1", 0, "g", 7, "r", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `__row` int, `__gone` string, n_lines int, removed string, h int")
+    out = site_lines.remove_site_lines(df, 12)
+    assert out.dtypes == df.dtypes
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[5].text == "own 5" and got[5]["__row"] == 5 and got[5]["__gone"] == "g" and got[5].n_lines == 7
+    assert got[99].text is None and got[98].text == ""
+    assert site_lines.remove_site_lines(df.limit(0), 12, counts=True).count() == 0
+    counted = {r.doc_id: (r.n_lines, r.removed) for r in site_lines.remove_site_lines(df, 12, counts=True).collect()}
+    assert counted[5] == (2, [0]) and counted[98] == (0, []) and counted[99][1] == []
+
+
+def test_site_lines_of_very_long_texts(spark):
+    import time
+
+    def seconds(n):
+        t = "\n".join(f"boilerplate {i}" for i in range(n))
+        df = spark.createDataFrame([(i, t + f"\nown {i}", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+        start = time.perf_counter()
+        assert {r.text for r in site_lines.remove_site_lines(df, 12).collect()} == {f"own {i}" for i in range(12)}
+        return time.perf_counter() - start
+    seconds(1000)
+    assert seconds(30_000) < 2.2 * seconds(15_000) + 1
+
+
+def test_fit_and_score_use_the_same_evidence(spark):
+    """A text of 200 toxic passages between clean ones, beside short ones: its evidence isn't cut when fitting."""
+    rng = random.Random(31)
+    bad = ["vilgrax", "morbidoo", "snarkling"]
+    long = " ".join(text(rng, 120) + " " + " ".join(rng.choice(bad) for _ in range(4)) for _ in range(200))
+    rows = [(0, long, 1)] + [(i, text(rng, 40) + (" " + " ".join(rng.choice(bad) for _ in range(6)) if i % 4 == 0 else ""), int(i % 4 == 0))
+                             for i in range(1, 200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxic_segments.fit_segments(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxic_segments.score_toxicity(docs, model).collect()}
+    assert len(got[0].passages) > 150
+    x = sum(model.lam * p.score - np.log(model.k * len(long.split())) for p in got[0].passages)
+    assert abs(model.at[-1] - x) < 1e-6 * x  # the last step of the fit ends at the evidence by which the text is scored
+    assert toxic_segments.score_toxicity(docs.limit(0), model).count() == 0
+    twice = docs.unionByName(docs).withColumn("score", F.lit("x")).withColumn("lang", F.lit("de"))
+    assert {r.doc_id: r.score for r in toxic_segments.score_toxicity(twice, model).collect()} == {i: r.score for i, r in got.items()}
+    assert docs.limit(1).select(toxic_segments.held_out("text")).first()[0] in (True, False)
+    null = spark.createDataFrame([(None,)], "doc_id long").select(toxic_segments.held_out("doc_id")).first()[0]
+    assert null is False
+
+
+def all_segments(s):
+    """Maximal scoring segments by their definition: the best segment, then the same on both sides of it."""
+    best = max(((sum(s[a:b]), -(b - a), -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0))
+    if best[0] <= 1e-12:
+        return []
+    a, b = -best[2], -best[2] - best[1]
+    return all_segments(s[:a]) + [(a, b)] + [(b + x, b + y) for x, y in all_segments(s[b:])]
+
+
+def test_all_maximal_segments():
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        s = rng.standard_normal(rng.integers(0, 14)).round(3)
+        assert sorted((a, b) for a, b, _ in toxic_segments.maximal_segments(s)) == all_segments(s.tolist())
+
+
+def test_helpers_go_when_the_next_stage_begins(spark):
+    from shotweave.llm import common
+    df = spark.range(5)
+    outside = common.durable(df, "outside")
+    with common.recorded():
+        a, b = common.durable(df, "a"), common.durable(df, "b")
+    common.drop_helpers(a)
+    assert a.count() == 5 and outside.count() == 5
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        b.count()
+    common.drop_helpers(df)
+    assert common.free_name(spark.createDataFrame([(1, 2)], "k int, _K int"), "k") == "__k"
