@@ -7,6 +7,7 @@ over the bytes, computed for a whole batch with prefix sums.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -87,6 +88,14 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame
     return big.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: workers stay for the stages after, whose JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(30))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import chunks, durable, list_array, mix64, signed, span_hashes, text_buffer, word_spans
+from shotweave.llm.common import chunks, durable, give_back, list_array, mix64, signed, span_hashes, text_buffer, word_spans
 
 #: Bytes that end a word: all of ASCII but letters and digits.
 BREAKS = np.ones(256, bool)
@@ -224,6 +224,7 @@ def fit_segments(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000
                  list_array(np.concatenate(parts) if parts else np.zeros(0), np.array([len(p) for p in parts], np.int64), pa.float64()),
                  pa.array([total.tolist()] + [None] * (len(size) - 1) if size else [], pa.list_(pa.int64()))],
                 ["toxic", "m", "best", "found", "hist"])
+        give_back()
 
     # a row for each labelled document with all its segments; what the driver gets of each is a few numbers
     fitted = durable(train.mapInArrow(run, "toxic int, m long, best double, found array<double>, hist array<long>"), "segments")
@@ -321,6 +322,7 @@ def score_toxicity(docs: DataFrame, model: SegmentModel) -> DataFrame:
                 [b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(passages, pa.list_(pa.struct(
                     [("first_word", pa.int64()), ("end_word", pa.int64()), ("score", pa.float64()), ("e", pa.float64())])))],
                 ["doc_id", "score", "passages"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, score double, passages array<struct<first_word:long,end_word:long,score:double,e:double>>")
