@@ -212,7 +212,9 @@ def item_sets(docs: DataFrame, k: int) -> DataFrame:
 def shared_tokens(tokens: DataFrame) -> DataFrame:
     """Rows ``(token, k, n)`` of tokens that at least two different keys have, without repeats. The test of a token is an
     aggregate, so a token of very many rows is reduced before it is dealt out, and the join may split it."""
-    some = tokens.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token")
+    # written down, so that the aggregate's shuffle is gone before that of the join; joined the same way at every size
+    some = durable(tokens.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("token"),
+                   "shared-tokens")
     return tokens.join(some, "token", "left_semi").select("token", "k", "n").distinct()
 
 
