@@ -2,26 +2,37 @@
 
 The network predicts every token from the two tokens before and the two behind it: their embeddings, weighted by
 place, sum to a hidden layer (tanh), from which a class and then the token within its class are predicted (two
-softmaxes of 32). A document's score is the sum of the conditional log-probabilities of all its tokens.
+softmaxes of 32). A document's score is the sum of the conditional log-probabilities of all its words.
 
-The vocabulary is the 767 most frequent words of all documents; the other words share 256 hashed tokens, one more token
-stands for the text's edge. Training covers every token of every document: each task trains a copy of the network on its
+Tokens are the 767 most frequent words and 256 groups, by hash, of all others; one more stands for the text's edge. Every
+word of the corpus has a probability of its own: that of its token in its place, and for a word of a group times the
+word's share of the group, ``(count + 1/2) / (words + distinct words)``. The distinct words' halves that the counts leave
+over are the mass of words that the corpus doesn't have; such a word counts as one of as many as the group's distinct
+ones. Bounded is only what tells contexts apart, the 1,024 tokens and 16 dimensions; the counts are of all words.
+
+Counts are a written table that grows with the corpus. Words with at least one in ``KEPT`` of all occurrences, at most
+``KEPT`` words therefore, go to every task with their shares; the counts of the others reach the documents by a join.
+
+Training covers every token of every document: each task trains a copy of the network on its
 part in mini-batches (AdaGrad, from unigram frequencies as a common start), and the copies' weights are averaged
-by their tokens, summed by Spark as fixed-point decimals. What leaves a task is its word counts and one set of
-weights; both grow with the input, no text moves.
+by their tokens, summed by Spark as fixed-point decimals. The weights, and thus the scores, depend on how the rows are
+split into tasks.
 
 Defined results: null and empty texts have no tokens, sum 0 and mean null; rows that repeat a doc_id, or with a null one,
-are trained on and scored each; further columns are ignored; an empty table gives an empty result.
+are trained on and scored each; further columns are ignored; an empty table gives an empty result; texts of any length
+are scored whole, their network part in blocks. Words of equal count rank by hash.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import chunks, signed, text_buffer, word_hashes
+from shotweave.llm.common import chunks, durable, list_array, signed, text_buffer, word_hashes
 
 CLASSES, IN_CLASS, DIM = 32, 32, 16
 VOCABULARY = CLASSES * IN_CLASS
@@ -31,6 +42,7 @@ EDGE = VOCABULARY - 1
 AROUND = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.08
 FIXED = 1 << 24
+KEPT = 1 << 20
 
 SHAPES = {"embed": (VOCABULARY, DIM), "place": (len(AROUND), DIM), "hidden": (DIM,), "class_w": (CLASSES, DIM),
           "class_b": (CLASSES,), "word_w": (CLASSES, IN_CLASS, DIM), "word_b": (CLASSES, IN_CLASS)}
@@ -138,8 +150,8 @@ class Trainer:
         self.tokens += len(ids)
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the known words, their tokens, count of every token) over all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``w long, n long``: hash and occurrences of every word of all documents, as a written table."""
 
     def count(batches):
         for b in batches:
@@ -149,18 +161,59 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(n)], ["w", "n"])
 
     words = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    words = words.persist()
-    top = words.orderBy(F.desc("n"), "w").limit(WORDS).toPandas()
-    # the top byte of a hash names its hashed token
-    bucket = words.groupBy(F.shiftrightunsigned("w", 56).alias("b")).agg(F.sum("n").alias("n")).toPandas()
-    words.unpersist()
-    known = top["w"].to_numpy(np.int64).view(np.uint64)
+    return durable(words, "words")
+
+
+@dataclass
+class Vocabulary:
+    """``known`` hashes, sorted, with their tokens ``rank``; ``counts`` of every token; ``listed`` hashes of grouped words,
+    sorted, with the logarithm of their ``share``; ``group``, the logarithm of every group's words + distinct words;
+    ``limit``: grouped words of at least this count are listed."""
+    known: np.ndarray
+    rank: np.ndarray
+    counts: np.ndarray
+    listed: np.ndarray
+    share: np.ndarray
+    group: np.ndarray
+    limit: int
+
+    def shares(self, words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logarithm of each word's share of its token, whether ``ln(count + 1/2)`` has still to be added)."""
+        out, rest = np.zeros(len(words)), np.zeros(len(words), bool)
+        at = np.flatnonzero(ids >= WORDS)
+        own = words[at]
+        place = np.searchsorted(self.listed, own)
+        place[place == len(self.listed)] = 0
+        found = self.listed[place] == own if len(self.listed) else np.zeros(len(own), bool)
+        rest[at] = ~found
+        out[at[found]] = self.share[place[found]]
+        out[at[~found]] = -self.group[(own[~found] >> np.uint64(56)).astype(np.int64)]
+        return out, rest
+
+
+def vocabulary(words: DataFrame) -> Vocabulary:
+    """Tokens and shares from the counts of all words."""
+    # the top byte of a hash names its group
+    groups = (words.groupBy(F.shiftrightunsigned("w", 56).alias("b"))
+              .agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas())
+    group_n, types = np.zeros(HASHED), np.zeros(HASHED)
+    group_n[groups["b"].to_numpy(np.int64)] = groups["n"]
+    types[groups["b"].to_numpy(np.int64)] = groups["types"]
+    limit = max(1, -(-int(group_n.sum()) // KEPT))
+    top = words.where(F.col("n") >= limit).toArrow()
+    w, n = top["w"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((w, -n))
+    w, n = w[order].view(np.uint64), n[order].astype(float)
+    known, k = w[:WORDS], len(w[:WORDS])
+    of = (w >> np.uint64(56)).astype(np.int64)
+    np.subtract.at(group_n, of[:k], n[:k])
+    np.subtract.at(types, of[:k], 1)
     counts = np.zeros(VOCABULARY)
-    counts[:len(top)] = top["n"]
-    np.add.at(counts, WORDS + bucket["b"].to_numpy(np.int64), bucket["n"].to_numpy(float))
-    np.subtract.at(counts, WORDS + (known >> np.uint64(56)).astype(np.int64), top["n"].to_numpy(float))
-    order = np.argsort(known)
-    return known[order], order.astype(np.int16), np.maximum(counts, 0)
+    counts[:k], counts[WORDS:EDGE] = n[:k], group_n
+    group = np.log(np.maximum(group_n + types, 1))
+    rank, by_hash = np.argsort(known), k + np.argsort(w[k:])
+    return Vocabulary(known[rank], rank.astype(np.int16), counts, w[by_hash],
+                      np.log(n[by_hash] + 0.5) - group[of[by_hash]], group, limit)
 
 
 def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, start: dict) -> dict[str, np.ndarray]:
@@ -196,35 +249,59 @@ def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, start: dict) ->
     return out
 
 
-def score(docs: DataFrame, known: np.ndarray, rank: np.ndarray, weights: dict) -> DataFrame:
-    """``doc_id, n_tokens long, log_likelihood double`` (sum), ``mean_log_likelihood double`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, rank, weights))
+@dataclass
+class Model:
+    """``words``: the written counts of all words."""
+    words: DataFrame
+    vocabulary: Vocabulary
+    weights: dict[str, np.ndarray]
+
+
+def fit(docs: DataFrame) -> Model:
+    """Counts and a network trained on every word of ``docs(text)``."""
+    words = word_counts(docs)
+    v = vocabulary(words)
+    return Model(words, v, train(docs, v.known, v.rank, start_weights(v.counts)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_tokens long, log_likelihood double`` (sum), ``mean_log_likelihood double`` of every row of
+    ``docs(doc_id long, text)``, which may be others than the model was fitted on."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.weights))
 
     def run(batches):
-        words, tokens, w = shared.value
+        v, w = shared.value
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
-            n, total = [], []
             for i, j in chunks(offsets, 1 << 20):
                 h, first = word_hashes(data, offsets[i:j + 1])
-                ids = token_ids(h, words, tokens)
+                ids = token_ids(h, v.known, v.rank)
                 around = contexts(ids, first)
-                logp = [forward(w, ids[a:a + BATCH], around[:, a:a + BATCH])[0] for a in range(0, len(ids), BATCH)]
-                sums = np.r_[0.0, np.cumsum(np.concatenate(logp), dtype=np.float64)] if logp else np.zeros(1)
-                n.append(np.diff(first))
-                total.append(sums[first[1:]] - sums[first[:-1]])
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            total = np.concatenate(total) if total else np.zeros(0)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total), mean],
-                                             ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                logp, rest = v.shares(h, ids)
+                for at in range(0, len(ids), BATCH):
+                    logp[at:at + BATCH] += forward(w, ids[at:at + BATCH], around[:, at:at + BATCH])[0]
+                sums = np.r_[0.0, np.cumsum(logp)]
+                left = np.r_[0, np.cumsum(rest)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(i, j - i), pa.array(np.diff(first), pa.int64()),
+                     pa.array(sums[first[1:]] - sums[first[:-1]]),
+                     list_array(signed(h[rest]), left[first[1:]] - left[first[:-1]], pa.int64())],
+                    ["doc_id", "n_tokens", "part", "rest"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, part double, rest array<long>")
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # no word here has more than one in KEPT of all occurrences, so none makes a hot key; sums are fixed-point, whatever their order
+    rare = model.words.where(F.col("n") < model.vocabulary.limit).hint("merge")
+    count = F.coalesce("n", F.lit(0)) + 0.5
+    more = (rows.select("row", F.explode("rest").alias("w")).join(rare, "w", "left")
+            .groupBy("row").agg(F.sum(F.round(F.log(count) * FIXED).cast("long")).alias("more")))
+    total = F.col("part") + F.coalesce("more", F.lit(0)) / FIXED
+    return (rows.drop("rest").join(more.hint("merge"), "row", "left")
+            .select("doc_id", "n_tokens", total.alias("log_likelihood"),
+                    F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood")))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Trains on all of ``docs(doc_id, text)`` and scores every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known, rank, counts = vocabulary(docs)
-    return score(docs, known, rank, train(docs, known, rank, start_weights(counts)))
+    return score(docs, fit(docs))

@@ -1,7 +1,9 @@
 """Each operator against a plain version on small tables with nulls, ties, repeats, long and empty texts, clashing columns."""
 
+import functools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shotweave.llm import (balltree, chat_repair, decontaminate, packing, paragraphs, parity_join, pseudo_lm, site_lines,
                            toxic_segments, url_rules)
+from shotweave.llm.common import text_buffer, word_hashes
 from shotweave.llm.queries import tokenizer_path
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki".split() for b in "lan mer nis pot rud sek tav wox".split()]
@@ -360,6 +363,67 @@ def test_pseudo_likelihood_prefers_real_order(spark):
     assert slope == pytest.approx(float(g["embed"][3, 2]), abs=1e-3)
 
 
+@functools.cache
+def hashed(w):
+    return int(word_hashes(*text_buffer(pa.array([w])))[0][0])
+
+
+def plain_score(model, t, counts):
+    """Sum of the log-probabilities of the words of ``t``, word by word, with plain softmaxes."""
+    v, w = model.vocabulary, model.weights
+    known = dict(zip(v.known.tolist(), v.rank.tolist()))
+    group = Counter()
+    for word, n in counts.items():
+        if hashed(word) not in known:
+            group[hashed(word) >> 56] += n + 1
+    words = t.lower().split()
+    ids = [known.get(hashed(x), pseudo_lm.WORDS + (hashed(x) >> 56)) for x in words]
+    total = 0.0
+    for i, token in enumerate(ids):
+        near = [ids[i + o] if 0 <= i + o < len(ids) else pseudo_lm.EDGE for o in pseudo_lm.AROUND]
+        h = np.tanh(w["hidden"] + sum(w["embed"][x] * w["place"][k] for k, x in enumerate(near)))
+        c = np.exp(w["class_w"] @ h + w["class_b"])
+        own = np.exp(w["word_w"][token // 32] @ h + w["word_b"][token // 32])
+        total += np.log(c[token // 32] / c.sum()) + np.log(own[token % 32] / own.sum())
+        if token >= pseudo_lm.WORDS:
+            total += np.log((counts[words[i]] + 0.5) / max(group[token - pseudo_lm.WORDS], 1))
+    return total
+
+
+@pytest.mark.parametrize("kept", [1 << 20, 300])
+def test_pseudo_likelihood_equals_plain_scores(spark, monkeypatch, kept):
+    monkeypatch.setattr(pseudo_lm, "KEPT", kept)
+    rng = random.Random(23)
+    words = [a + b + c for a in WORDS for b in ("ra", "lo", "") for c in WORDS[:8]]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=60)) + f" once{i}") for i in range(150)]
+    rows += [(500, None), (501, ""), (502, " \n"), (None, rows[3][1]), (7, rows[9][1]), (503, rows[9][1].upper()),
+             (504, " ".join(rng.choice(words) for _ in range(3000)))]
+    # an operator's own names must not clash with further columns
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, rest string, row int, n int")
+    counts = Counter(w for _, t in rows for w in (t or "").lower().split())
+    model = pseudo_lm.fit(df)
+    got = pseudo_lm.score(df, model).collect()
+    want = sorted((i is None, i or 0, len((t or "").split()), round(plain_score(model, t or "", counts), 1)) for i, t in rows)
+    assert [w[:3] for w in want] == sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got)
+    for r, w in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.log_likelihood)), want):
+        assert r.log_likelihood == pytest.approx(w[3], abs=0.06 + 1e-5 * abs(w[3]))
+    new = spark.createDataFrame([(1, "never seen words"), (2, " ".join(words[-3:])), (3, "")], "doc_id long, text string")
+    other = {r.doc_id: r.log_likelihood for r in pseudo_lm.score(new, model).collect()}
+    assert other == {1: pytest.approx(plain_score(model, "never seen words", counts), abs=0.01),
+                     2: pytest.approx(plain_score(model, " ".join(words[-3:]), counts), abs=0.01), 3: 0}
+    assert pseudo_lm.pseudo_likelihood(df.limit(0)).count() == 0
+
+
+def test_garbled_words_score_below_rare_ones(spark):
+    rng = random.Random(24)
+    common, rare = [f"c{k}" for k in range(900)], [f"r{k}" for k in range(600)]
+    rows = [(i, " ".join(rng.choices(common, k=80) + rng.sample(rare, 6))) for i in range(400)]
+    rows += [(1000, " ".join(rng.sample(rare, 40))), (1001, " ".join(f"g{k}x" for k in range(40)))]
+    got = {r.doc_id: r.mean_log_likelihood for r in
+           pseudo_lm.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1001] < got[1000] - 0.5
+
+
 def test_components_joined_later(spark):
     from shotweave.llm.graph import components, joined
 
