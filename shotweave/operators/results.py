@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shotweave.operators.metrics import pct_text
+
 ROUND = 6
 P_DIGITS = 4
 # The dataset order of the publication table and its metrics.
@@ -43,6 +45,47 @@ RULE_SCHEMA = ("setting string, ds_rule string, needs_oos boolean, src_scope str
                "scope string, metric string")
 
 
+# Classes and out-of-scope id of each dataset, the domains that settings of one held-in domain go over.
+DATASETS = {"clinc_oos": (151, 150), "banking77": (77, None), "hwu64": (64, None), "snips_official": (7, None)}
+DOMAINS = {
+    "clinc_oos": ["banking", "credit_card", "dining", "home", "auto", "travel", "utility", "work", "small_talk", "meta"],
+    "snips_official": ["AddToPlaylist", "BookRestaurant", "GetWeather", "PlayMusic", "RateBook", "SearchCreativeWork",
+                       "SearchScreeningEvent"],
+}
+ENGINES = ["ada", "babbage", "curie", "davinci", "gptj"]
+
+# The named experiment groups.
+# (name, dataset, config, exp types, engines, temperature, runs, learning rate, batch size, epochs, weight decay)
+EXPERIMENT_GROUPS = [
+    ("baselines", "clinc_oos", "few_pure", ["baseline"], None, None, 10, 4e-5, 32, 6, 0.01),
+    ("ex2_setup", "clinc_oos", "full_*", ["gpt3"], ENGINES, "1.0", 10, 5e-5, 64, 10, 0.01),
+    ("fewshot_baseline_clinc", "clinc_oos", "few_pure", ["baseline"], None, None, 10, 3e-5, 8, 6, 0.001),
+    ("fewshot_oracle_clinc", "clinc_oos", "few_pure", ["gpt3_oracle"], ENGINES, "1.0", 10, 5e-5, 64, 6, 0.01),
+    ("fewshot_gpt3_clinc", "clinc_oos", "few_pure", ["gpt3"], ENGINES, "1.0", 10, 5e-5, 64, 6, 0.01),
+    ("fewshot_gpt3mix_clinc", "clinc_oos", "few_pure", ["gpt3mix", "gpt3mix_oracle"], ["curie"], "1.0", 10, 5e-5, 64, 6, 0.01),
+    ("fewshot_eda_clinc", "clinc_oos", "few_pure", ["eda", "eda_oracle"], None, None, 10, 5e-5, 64, 6, 0.01),
+    ("banking77_baselines", "banking77", "full", ["baseline"], None, None, 10, 5e-5, 32, 10, 0.01),
+    ("fewshot_baseline_banking77", "banking77", "few_pure", ["baseline"], None, None, 10, 3e-5, 8, 20, 0.001),
+    ("fewshot_gpt3_banking77", "banking77", "few_pure", ["gpt3"], ENGINES, "1.0", 10, 5e-5, 32, 10, 0.01),
+    ("fewshot_oracle_banking77", "banking77", "few_pure", ["gpt3_oracle"], ENGINES, "1.0", 10, 5e-5, 32, 10, 0.01),
+    ("fewshot_eda_banking77", "banking77", "few_pure", ["eda", "eda_oracle"], None, None, 10, 5e-5, 32, 10, 0.01),
+    ("hwu64_baselines", "hwu64", "full", ["intrinsic"], None, None, 10, 5e-5, 32, 6, 0.01),
+    ("fewshot_baseline_hwu64", "hwu64", "few_pure", ["baseline"], None, None, 10, 3e-5, 8, 20, 0.001),
+    ("fewshot_gpt3_hwu64", "hwu64", "few_pure", ["gpt3"], ENGINES, "1.0", 10, 3e-5, 32, 10, 0.01),
+    ("fewshot_oracle_hwu64", "hwu64", "few_pure", ["gpt3_oracle"], ENGINES, "1.0", 10, 3e-5, 32, 10, 0.01),
+    ("fewshot_eda_hwu64", "hwu64", "few_pure", ["eda", "eda_oracle"], None, None, 10, 3e-5, 32, 10, 0.01),
+    ("snips_baselines", "snips_official", "full", ["baseline"], None, "1.0", None, 4e-5, 32, 6, 0.01),
+    ("snips_ex2_setup", "snips_official", "full_*", ["gpt3"], ENGINES, "1.0", 10, 5e-5, 64, 10, 0.01),
+    ("fewshot_baseline_snips", "snips_official", "few_pure", ["baseline"], None, None, 10, 3e-5, 8, 20, 0.001),
+    ("fewshot_gpt3_snips", "snips_official", "few_pure", ["gpt3"], ENGINES, "1.0", 10, 5e-5, 64, 10, 0.01),
+    ("fewshot_oracle_snips", "snips_official", "few_pure", ["gpt3_oracle"], ENGINES, "1.0", 10, 5e-5, 64, 10, 0.01),
+    ("fewshot_eda_snips", "snips_official", "few_pure", ["eda", "eda_oracle"], None, None, 10, 5e-5, 64, 10, 0.01),
+]
+GROUP_SCHEMA = ("exp_group string, dataset string, num_labels int, oos_id int, config array<string>, exp_type array<string>, "
+                "engine array<string>, temp string, run array<int>, lr double, batch_size int, epochs int, weight_decay double")
+RUN_KEYS = ["dataset", "config", "exp_type", "engine", "temp", "run"]
+
+
 # RES-01 ----------------------------------------------------------------------------
 def experiment_grid(base: DataFrame, params: dict[str, Sequence]) -> DataFrame:
     """Cartesian product of ``base`` rows with list-valued parameters (one
@@ -54,6 +97,34 @@ def experiment_grid(base: DataFrame, params: dict[str, Sequence]) -> DataFrame:
     return out.withColumn("config_id", F.sha1(F.concat_ws("|", *keys)))
 
 
+def experiment_groups(spark: SparkSession, names: Sequence[str] | None = None,
+                      domains: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The experiments of the named groups (all by default), a row each. ``full_*`` stands for one config per domain of the
+    dataset, from ``domains`` or ``DOMAINS``; a group without engines or runs has nulls there. Unknown names raise."""
+    unknown = set(names or ()) - {g[0] for g in EXPERIMENT_GROUPS}
+    if unknown:
+        raise KeyError(f"no such experiment group: {sorted(unknown)}")
+    rows = []
+    for name, ds, config, types, engines, temp, runs, *training in EXPERIMENT_GROUPS:
+        if names is None or name in names:
+            configs = [f"full_{d}" for d in (domains or DOMAINS)[ds]] if config == "full_*" else [config]
+            rows.append((name, ds, *DATASETS[ds], configs, types, engines or [None], temp,
+                         [None] if runs is None else list(range(runs)), *training))
+    out = spark.createDataFrame(rows, GROUP_SCHEMA)
+    for c in ("config", "exp_type", "engine", "run"):
+        out = out.withColumn(c, F.explode(c))
+    return out
+
+
+def group_progress(groups: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per experiment group: ``n_experiments``, how many of them have a run folder (``n_done``), and ``n_folders``."""
+    found = runs.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    same = [groups[c].eqNullSafe(found[c]) for c in RUN_KEYS]
+    return (groups.join(found, same, "left").groupBy("exp_group")
+            .agg(F.count(F.lit(1)).alias("n_experiments"), F.count("n").alias("n_done"),
+                 F.coalesce(F.sum("n"), F.lit(0)).alias("n_folders")))
+
+
 # RES-02 ----------------------------------------------------------------------------
 def exp_key(exp_type: Column, engine: Column, temp: Column) -> Column:
     return F.when(exp_type.contains("gpt"), F.concat_ws("_", exp_type, engine, temp)).otherwise(exp_type)
@@ -129,7 +200,8 @@ def summary(means: DataFrame) -> DataFrame:
 
 
 def summary_text(s: DataFrame) -> DataFrame:
-    return s.withColumn("text", F.format_string("%.2f (%.2f)", F.col("mean"), F.col("std")))
+    """Mean and deviation with two decimals, rounded half-up, e.g. ``81.25 (0.50)``; both are at least 0."""
+    return s.withColumn("text", F.concat(pct_text(F.col("mean") / 100.0), F.lit(" ("), pct_text(F.col("std") / 100.0), F.lit(")")))
 
 
 def summary_pivot(s: DataFrame, scopes: Sequence[str]) -> DataFrame:

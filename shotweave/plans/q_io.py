@@ -193,14 +193,14 @@ def q_snk02(spark, sf):
 
 
 @register("snk03_write_sheets", __import__("shotweave.plans.q_review", fromlist=["ROWS_SQL"]).ROWS_SQL + """
-SELECT attr, regexp_replace(sheet, '[/<>]', '_', 'g') AS sheet, count(*) AS n_rows FROM rrows GROUP BY ALL""")
+SELECT attr, regexp_replace(sheet, '[/<>]', '_', 'g') AS sheet, kind, text,
+       coalesce(oracle_prediction, '') AS oracle_prediction, row_key FROM rrows""")
 def q_snk03(spark, sf):
     from shotweave.plans.q_review import _rows
     rows = _rows(spark, sf)
     path = scratch_path(spark, "sheets")
     SK.write_sheets(rows, path)
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy("attr", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))
+    return SK.read_sheets(spark, path, "kind string, text string, oracle_prediction string, row_key string")
 
 
 @register("snk04_write_or_reuse", with_corpus() + "SELECT split, count(*) AS n_rows FROM corpus GROUP BY split")

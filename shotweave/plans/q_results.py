@@ -18,6 +18,7 @@ DATASETS = ["clinc_oos", "hwu64", "banking77", "snips_official"]
 EXP = [("baseline", None, None), ("eda", None, None), ("gpt3", "ada", "1.0"), ("gpt3", "davinci", "1.0"),
        ("gpt3_oracle", "davinci", "1.0"), ("gpt3_oracle", "ada", "1.0")]
 SCOPES = ["test", "overall", "few_shot"]
+ALL_SCOPES = ["test", "val", "overall", "overall_val", "few_shot", "few_shot_val"]
 
 
 def _arr(values):
@@ -117,6 +118,35 @@ def q_res01(spark, sf):
     return R.experiment_grid(base, {"exp_type": ["baseline", "upsample", "eda"], "run": list(range(10))})
 
 
+def _groups_sql() -> str:
+    def lit(x):
+        return "NULL" if x is None else f"'{x}'"
+
+    rows = []
+    for name, ds, config, types, engines, temp, runs, *_ in R.EXPERIMENT_GROUPS:
+        configs = f"['full_{ds}']" if config == "full_*" else _lst([config])
+        run = "[NULL::INTEGER]" if runs is None else f"CAST(range({runs}) AS INTEGER[])"
+        rows.append(f"({lit(name)}, {lit(ds)}, {configs}, {_lst(types)}, {_lst(engines or [None])}::VARCHAR[], "
+                    f"{lit(temp)}::VARCHAR, {run})")
+    return f"""
+, g0(exp_group, dataset, configs, types, engines, temp, runs) AS (VALUES {", ".join(rows)})
+, g1 AS (SELECT exp_group, dataset, unnest(configs) AS config, types, engines, temp, runs FROM g0)
+, g2 AS (SELECT exp_group, dataset, config, unnest(types) AS exp_type, engines, temp, runs FROM g1)
+, g3 AS (SELECT exp_group, dataset, config, exp_type, unnest(engines) AS engine, temp, runs FROM g2)
+, g AS (SELECT exp_group, dataset, config, exp_type, engine, temp, unnest(runs) AS run FROM g3)
+, found AS (SELECT dataset, config, exp_type, engine, temp, run, count(*) AS n FROM runs GROUP BY ALL)
+SELECT g.exp_group, count(*) AS n_experiments, count(f.n) AS n_done, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS n_folders
+FROM g LEFT JOIN found f ON g.dataset = f.dataset AND g.config = f.config AND g.exp_type = f.exp_type
+  AND g.engine IS NOT DISTINCT FROM f.engine AND g.temp IS NOT DISTINCT FROM f.temp AND g.run IS NOT DISTINCT FROM f.run
+GROUP BY g.exp_group"""
+
+
+@register("res01_experiment_groups", RUNS_SQL + _groups_sql())
+def q_res01_groups(spark, sf):
+    runs, _ = run_tables(spark, sf)
+    return R.group_progress(R.experiment_groups(spark, domains={d: [d] for d in R.DATASETS}), runs)
+
+
 @register("res02_select_runs", RUNS_SQL + """
 SELECT folder, exp_key, dataset, run FROM sel
 WHERE dataset IN ('clinc_oos', 'banking77')
@@ -164,6 +194,19 @@ def q_res08(spark, sf):
     return R.summary(_means(spark, sf))
 
 
+def _text_sql(x: str) -> str:
+    h = f"CAST(round({x} / 100.0 * 10000.0) AS BIGINT)"
+    return f"CAST({h} // 100 AS VARCHAR) || '.' || lpad(CAST({h} % 100 AS VARCHAR), 2, '0')"
+
+
+@register("res08_scope_view", RUNS_SQL + SUMMARY_SQL + ", texts AS (SELECT *, " + _text_sql("mean") + " || ' (' || "
+          + _text_sql("std") + " || ')' AS text FROM summ) SELECT exp_key, dataset, metric, "
+          + ", ".join(f"max(text) FILTER (WHERE scope = '{s}') AS {s}" for s in ALL_SCOPES)
+          + " FROM texts GROUP BY exp_key, dataset, metric")
+def q_res08_view(spark, sf):
+    return R.summary_pivot(R.summary(_means(spark, sf)), ALL_SCOPES)
+
+
 def _p_sql(t: str, df: str) -> str:
     th = f"atan(abs({t}) / sqrt({df}))"
     c2 = f"pow(cos({th}), 2)"

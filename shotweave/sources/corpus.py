@@ -4,8 +4,8 @@ Columns: ``row_id LONG, text STRING, intent STRING, domain STRING,
 intent_id INT, split STRING``.
 
 * One utterance per line of every document: the whole text is used, line by
-  line (``row_id = doc_id * 1_000_000 + line index``).
-* ``intent``: ``'oos'`` when the document's quality label is 0, else ``lang || '_' || source``.
+  line (``row_id = doc_id * 1_000_000 + line index``); a document of more lines than that raises.
+* ``intent``: ``'oos'`` when the document's quality label is 0, else ``lang || '_' || source`` (``unknown`` where null).
 * ``domain``: ``'oos'`` or the part of the intent before the first ``_``.
 * ``intent_id``: dense rank of the intent among sorted in-scope names from 0;
   the out-of-scope class gets the last id.
@@ -40,10 +40,11 @@ def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.join(labels, "doc_id", "left").select(
         "doc_id", "lang", "source", "quality", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
     return lines.select(
-        (F.col("doc_id") * LINE_KEY + F.col("line_idx")).alias("row_id"),
+        F.when(F.col("line_idx") < LINE_KEY, F.col("doc_id") * LINE_KEY + F.col("line_idx"))
+        .otherwise(F.raise_error(F.lit(f"a document has more than {LINE_KEY} lines")).cast("long")).alias("row_id"),
         F.col("line").alias("text"),
         F.when(F.col("quality") == 0, F.lit(OOS))
-        .otherwise(F.concat(F.col("lang"), F.lit("_"), F.col("source"))).alias("intent"),
+        .otherwise(F.concat(F.coalesce("lang", F.lit("unknown")), F.lit("_"), F.coalesce("source", F.lit("unknown")))).alias("intent"),
         split_of(F.col("doc_id")).alias("split"),
     )
 
@@ -80,7 +81,7 @@ WITH doc_lines AS (
 ), base AS (
   SELECT doc_id * 1000000 + line_idx AS row_id,
          line AS text,
-         CASE WHEN quality = 0 THEN 'oos' ELSE lang || '_' || source END AS intent,
+         CASE WHEN quality = 0 THEN 'oos' ELSE coalesce(lang, 'unknown') || '_' || coalesce(source, 'unknown') END AS intent,
          CASE WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 1, 1) < 'c' THEN 'train'
               WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 1, 1) < 'e' THEN 'val'
               ELSE 'test' END AS split

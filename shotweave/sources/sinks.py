@@ -31,10 +31,19 @@ def write_metrics_json(metrics: DataFrame, path: str, key: str = "config_id", mo
 
 
 # SNK-03 ------------------------------------------------------------------------
+SHEET_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_sheets(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Review sheets as CSV, one folder per (attr, sheet)."""
+    """Review sheets as CSV, one folder per (attr, sheet). Cells keep their quotes, blanks and line breaks; null is empty."""
     (rows.withColumn("sheet", F.regexp_replace("sheet", "[/<>]", "_"))
-     .write.mode(mode).partitionBy("attr", "sheet").option("header", True).csv(path))
+     .write.mode(mode).partitionBy("attr", "sheet").options(**SHEET_CSV).option("quoteAll", True).csv(path))
+
+
+def read_sheets(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Sheets as written: ``columns`` (a schema of strings) and ``attr, sheet``; empty cells are empty strings."""
+    rows = spark.read.schema(f"{columns}, attr string, sheet string").options(**SHEET_CSV).option("multiLine", True).csv(path)
+    return rows.fillna("", [c for c, _ in rows.dtypes])
 
 
 # SNK-04 ------------------------------------------------------------------------

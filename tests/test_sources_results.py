@@ -2,14 +2,16 @@
 
 import json
 import os
+import re
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from shotweave.operators import results as R
 from shotweave.operators.review import AnnotationMismatch
+from shotweave.sources import corpus as C
 from shotweave.sources import readers as RD
+from shotweave.sources import sinks as SK
 
 
 def test_read_split_json_routes_keys(spark):
@@ -73,4 +75,48 @@ def test_metric_rules_snips_and_oos(spark):
     m = {(r.folder, r.scope, r.metric) for r in R.extract_metrics(spark, R.select_runs(runs), res).collect()}
     assert m == {("f1", "overall", "IA"), ("f1", "few_shot", "IA"), ("f2", "test", "A"), ("f2", "test", "OR"),
                  ("f3", "val", "A")}
-    _ = F
+
+
+def test_sheets_keep_cells(spark, tmp_path):
+    rows = [("a", "d<>x", "prompt", ' two "quoted", blanks ', None, "1"), ("a", "d<>x", "generated", "line\nbreak\r\nend", "y", "2"),
+            ("a", "d<>z", "generated", "", "#", "3"), ("b", "d/q", "prompt", "tab\there \\ back", "", "4")]
+    SK.write_sheets(spark.createDataFrame(
+        rows, "attr string, sheet string, kind string, text string, oracle_prediction string, row_key string"), f"{tmp_path}/s")
+    back = SK.read_sheets(spark, f"{tmp_path}/s", "kind string, text string, oracle_prediction string, row_key string")
+    want = {(k, t, o or "", n, a, re.sub("[/<>]", "_", s)) for a, s, k, t, o, n in rows}
+    assert set(map(tuple, back.collect())) == want
+
+
+def test_experiment_groups(spark):
+    g = R.experiment_groups(spark)
+    n = {r.exp_group: r["count"] for r in g.groupBy("exp_group").count().collect()}
+    assert len(n) == 23 and n["ex2_setup"] == 500 and n["snips_ex2_setup"] == 350 and n["snips_baselines"] == 1
+    assert n["fewshot_eda_hwu64"] == 20 and n["fewshot_oracle_clinc"] == 50
+    assert R.experiment_groups(spark, ["hwu64_baselines"]).first().exp_type == "intrinsic"
+    with pytest.raises(KeyError):
+        R.experiment_groups(spark, ["nope"])
+    runs = spark.createDataFrame(
+        [("f", "hwu64", "few_pure", "eda", None, None, 3), ("f2", "hwu64", "few_pure", "eda", None, None, 3),
+         ("f3", "hwu64", "few_pure", "gpt3", "ada", "1.0", 0), ("f4", "hwu64", "few_pure", "gpt3", "ada", "0.5", 0)],
+        "folder string, dataset string, config string, exp_type string, engine string, temp string, run int")
+    got = {r.exp_group: (r.n_experiments, r.n_done, r.n_folders) for r in R.group_progress(g, runs).collect()}
+    assert got["fewshot_eda_hwu64"] == (20, 1, 2) and got["fewshot_gpt3_hwu64"] == (50, 1, 1) and got["ex2_setup"] == (500, 0, 0)
+
+
+def test_scope_view(spark):
+    means = spark.createDataFrame([("k", "d", 0, "val", "A", 80.0), ("k", "d", 1, "val", "A", 81.0), ("k", "d", 0, "test", "A", 7.005)],
+                                  "exp_key string, dataset string, run int, scope string, metric string, value double")
+    row = R.summary_pivot(R.summary(means), ["test", "val", "overall"]).first()
+    assert row.val == "80.50 (0.50)" and row.test.endswith(" (0.00)") and row.overall is None
+
+
+def test_corpus_keeps_rows_without_source_and_checks_lines(spark, tmp_path, monkeypatch):
+    docs = [(1, "a\nb", "en", None), (2, "c", None, "web"), (3, None, "en", "web"), (4, "d\ne\nf", "en", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.row_id, r.text, r.intent) for r in C.build_corpus(spark, str(tmp_path)).collect()}
+    assert got == {(1000000, "a", "en_unknown"), (1000001, "b", "en_unknown"), (2000000, "c", "unknown_web"),
+                   (4000000, "d", "oos"), (4000001, "e", "oos"), (4000002, "f", "oos")}
+    monkeypatch.setattr(C, "LINE_KEY", 2)
+    with pytest.raises(Exception, match="more than 2 lines"):
+        C.base_rows(spark, str(tmp_path)).collect()
