@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from shotweave.functions.rand import stream, stream_lists
 from shotweave.operators import mix as X
+from shotweave.plans import catalog  # noqa: F401  (registers the query groups in order)
 from shotweave.plans import q_mix
 
 
