@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.functions.text import STRIP_SQL
+from shotweave.operators.augment import spread
 from shotweave.operators.labels import label_dictionary
 from shotweave.operators.score import fit_scorer, relabel
 from shotweave.plans.catalog import register
@@ -23,7 +24,7 @@ from shotweave.plans.sqltext import K, with_corpus
 from shotweave.sources import readers as RD
 from shotweave.sources import sinks as SK
 from shotweave.sources.corpus import base_rows, corpus
-from shotweave.sources.tables import write_small
+from shotweave.sources.tables import task_folder, write_files, write_small
 from shotweave.streaming.incremental import incremental, read_sink, scratch_path
 
 KEY_SQL = "CASE WHEN intent = 'oos' THEN 'oos_' ELSE '' END || split"
@@ -100,19 +101,27 @@ def q_src07(spark, sf):
     return RD.read_label_map(spark, path)
 
 
+def _run_files(r) -> list[tuple[str, str]]:
+    """The files of a run folder, as (name, text): a few KB."""
+    exp = {"dataset": {"name": r["dataset"], "config": r["config"], "oos_id": r["oos_id"]},
+           "exp_type": r["exp_type"], "gpt3_engine": r["engine"], "gpt3_temp": r["temp"], "run#": r["run"]}
+    body: dict = {}
+    for e in r["r"] or []:
+        where = body if e["scope"] is None else body.setdefault(e["scope"], {})
+        where[e["key"]] = e["value"]  # json writes NaN as NaN
+    return [(f"{r['folder']}/exp_dict.json", json.dumps(exp)), (f"{r['folder']}/code/results.json", json.dumps({"cfg": body}))]
+
+
 def _write_run_tree(spark, sf, root):
     runs, res = run_tables(spark, sf)
     res_j = (res.groupBy("folder").agg(F.collect_list(F.struct("scope", "key", "value")).alias("r")))
-    # a few KB for each run folder, written one by one through the Hadoop API: any file system that Spark knows
-    for r in runs.join(res_j, "folder", "left").toLocalIterator():
-        exp = {"dataset": {"name": r["dataset"], "config": r["config"], "oos_id": r["oos_id"]},
-               "exp_type": r["exp_type"], "gpt3_engine": r["engine"], "gpt3_temp": r["temp"], "run#": r["run"]}
-        body: dict = {}
-        for e in r["r"] or []:
-            where = body if e["scope"] is None else body.setdefault(e["scope"], {})
-            where[e["key"]] = e["value"]  # json writes NaN as NaN
-        write_small(spark, f"{root}/{r['folder']}/exp_dict.json", json.dumps(exp))
-        write_small(spark, f"{root}/{r['folder']}/code/results.json", json.dumps({"cfg": body}))
+    rows = runs.join(res_j, "folder", "left")
+    if folder := task_folder(spark, root):
+        spread(rows, "folder").foreachPartition(lambda part: write_files(folder, (f for r in part for f in _run_files(r))))
+    else:  # one by one through the Hadoop API: any file system that Spark knows
+        for r in rows.toLocalIterator():
+            for name, text in _run_files(r):
+                write_small(spark, f"{root}/{name}", text)
 
 
 @register("src08_read_run_tree", RUNS_SQL + """
