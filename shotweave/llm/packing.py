@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import chunks, mix64, span_hashes, text_buffer
+from shotweave.llm.common import chunks, give_back, mix64, span_hashes, text_buffer
 
 SENTENCE, INSIDE = 4, 64  # penalties, in tokens
 WINDOW_COST = 256
@@ -328,5 +328,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, separator: int = 1)
                     yield flush()
         if held:
             yield flush()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)

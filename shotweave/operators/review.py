@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.rand import draw
 from shotweave.operators.labels import sheet_key
-from shotweave.sources.tables import numbered
+from shotweave.sources.tables import durable, numbered
 
 
 class AnnotationMismatch(ValueError):
@@ -24,8 +24,10 @@ def review_rows(f_train: DataFrame, relabelled: DataFrame) -> DataFrame:
     the scorer's prediction, for generated rows whose intent has a sheet.
 
     The generator list is bounded metadata; prompts are repeated per generator
-    with a generator over the literal list, not a join."""
+    with a generator over the literal list, not a join. ``relabelled`` is written
+    down, so that its predictions are joined once for the list and the rows."""
     from shotweave.operators.sample import bounded_values
+    relabelled = durable(relabelled.select("attr", "old_intent", "text", "intent", "row_key"), "relabelled")
     attrs = bounded_values(relabelled, "attr")
     sheets = f_train.select("domain", "intent").distinct()
     name = F.concat_ws("<>", "domain", sheet_key(F.col("intent")))

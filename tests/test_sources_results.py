@@ -129,8 +129,9 @@ def test_run_folders_are_written_by_tasks(spark, monkeypatch):
     def driver(*_):
         raise AssertionError("written by the driver")
     monkeypatch.setattr(q_io, "write_small", driver)
-    got = q_io.q_src08(spark, SF_SMALL)
-    runs, res = q_io.run_tables(spark, SF_SMALL)
+    sf = "/root/testdata/sf0.001"
+    got = q_io.q_src08(spark, sf)
+    runs, res = q_io.run_tables(spark, sf)
     want = runs.join(res, "folder").selectExpr("folder", "config", "run", "scope", "key", "round(value, 9) AS value")
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got.select(want.columns).collect())) == sorted(map(key, want.collect()))
