@@ -24,7 +24,9 @@ from shotweave.sources.tables import file_system
 #: Sides with at most this many rows (of a few longs each) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text handled at once inside a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of rows in a batch that Spark hands to a task's Python, within ``small_batches``.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +90,19 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame
     return big.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run meanwhile hand rows to Python in batches of about ``BATCH_BYTES``: an executor's JVM and its Python workers
+    each hold a whole batch for every task, and keep the memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def give_back() -> None:
     """Returns memory that this worker has freed to the system: workers stay for the stages after, whose JVM needs it."""
     pa.default_memory_pool().release_unused()

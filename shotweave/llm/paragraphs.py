@@ -33,8 +33,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import (BROADCAST_ROWS, chunks, durable, mix64, semi_join, shingles, signed, text_buffer,
-                                  word_hashes)
+from shotweave.llm.common import (BROADCAST_ROWS, chunks, durable, give_back, mix64, semi_join, shingles, signed, small_batches,
+                                  text_buffer, word_hashes)
 from shotweave.llm.graph import linked_components
 from shotweave.llm.parity_join import SEEN, _lists, parity_sketch, set_keys, shared_tokens
 
@@ -147,6 +147,7 @@ def window_rows(docs: DataFrame, size: int, passage: int, k: int) -> DataFrame:
                     [pa.array(v, pa.int64()) for v in (ids[i + own], keys[i + own], place, at - bounds[own], unit,
                                                        signed(mix64(x)), signed(mix64(y)))],
                     ["doc_id", "t", "para", "first_word", "unit", "k1", "k2"])
+        give_back()
 
     return docs.mapInArrow(run_batches, WINDOW_DDL)
 
@@ -193,6 +194,8 @@ def paragraph_rows(docs: DataFrame, min_words: int, k: int, bands: int, rows: in
                     pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()),
                     _lists([signed(next(tokens)) if f else none for f in new]),
                     _lists([parity_sketch(p[4]) if f else none for p, f in zip(part, new, strict=True)])], schema=SCHEMA)
+        seen.clear()
+        give_back()
 
     return docs.mapInArrow(run, DDL)
 
@@ -218,6 +221,11 @@ def paragraph_dedup(docs: DataFrame, min_words: int = 30, shingle: int = 5, perc
     Returns ``doc_id, para long`` (index of the line it starts in), ``first_word long`` (index in the text), ``n_words long,
     class_doc_id long, class_para long, class_first_word long`` (the class's first occurrence), ``class_size long``
     (occurrences) and ``removed boolean``."""
+    with small_batches(docs.sparkSession):
+        return _paragraph_dedup(docs, min_words, shingle, percent, recall, passage)
+
+
+def _paragraph_dedup(docs: DataFrame, min_words: int, shingle: int, percent: int, recall: float, passage: int) -> DataFrame:
     docs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .where("doc_id is not null").withColumn("t", F.xxhash64("text")))
     bands, rows_per = tune_bands(percent, recall)

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import (chunks, durable, list_array, mix64, semi_join, shingles, signed, text_buffer,
-                                  word_hashes)
+from shotweave.llm.common import (chunks, durable, give_back, list_array, mix64, semi_join, shingles, signed, small_batches,
+                                  text_buffer, word_hashes)
 from shotweave.llm.graph import linked_components
 
 #: Each size band spans a factor of 4; its sketch has a block for every 2.4 shingles of its largest set,
@@ -140,6 +140,9 @@ def frequencies(docs: DataFrame, each) -> np.ndarray:
             look()
         hot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(total[hot], pa.int64())], ["bucket", "c"])
+        held.clear()
+        seen.clear()
+        give_back()
 
     rows = durable(docs.select("text").mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")),
                    "frequencies")
@@ -180,6 +183,8 @@ def sketch_rows(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                      list_array(signed(np.concatenate(flat)), np.array(size, np.int64), pa.int64()), _lists(sketch)], schema=ROW)
+        seen.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ROW_DDL)
 
@@ -223,9 +228,10 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
 
     Returns ``doc_id, n_shingles long, component_id long`` (smallest doc_id reachable), one row per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    freq = frequencies(docs, lambda column: each_set(column, shingle))
-    rows = durable(sketch_rows(docs, freq, shingle, percent), "sketches")
-    of = _classes(docs, rows, shingle, percent)
+    with small_batches(docs.sparkSession):
+        freq = frequencies(docs, lambda column: each_set(column, shingle))
+        rows = durable(sketch_rows(docs, freq, shingle, percent), "sketches")
+        of = _classes(docs, rows, shingle, percent)
     # sets that several rows share are joined on the set; the class of any other set is that of its only row
     return rows.select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

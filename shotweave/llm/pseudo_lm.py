@@ -43,6 +43,7 @@ AROUND = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.08
 FIXED = 1 << 24
 KEPT = 1 << 20
+TRAIN_BYTES = 2 << 20  # texts of a training step
 
 SHAPES = {"embed": (VOCABULARY, DIM), "place": (len(AROUND), DIM), "hidden": (DIM,), "class_w": (CLASSES, DIM),
           "class_b": (CLASSES,), "word_w": (CLASSES, IN_CLASS, DIM), "word_b": (CLASSES, IN_CLASS)}
@@ -225,7 +226,7 @@ def train(docs: DataFrame, known: np.ndarray, rank: np.ndarray, start: dict) ->
         net = Trainer(w)
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, TRAIN_BYTES):
                 h, first = word_hashes(data, offsets[i:j + 1])
                 ids = token_ids(h, words, tokens)
                 net.learn(ids, contexts(ids, first))
