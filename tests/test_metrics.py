@@ -73,3 +73,16 @@ def test_ttr_approx_close_to_exact(spark):
     approx = {r.n: (r.types, r.tokens) for r in M.ttr(c, approx_rsd=0.02).collect()}
     for n, t in exact.items():
         assert abs(approx[n][0] - t) <= 0.1 * t
+
+
+def test_ttr_shuffles_blocks_not_grams(spark):
+    rows = [("a", "one two three one two three"), ("a", None), (None, "one two"), ("b", ""), (None, "x, y")]
+    df = spark.createDataFrame(rows, "g string, text string")
+    out = M.ttr(df, ns=(1, 2), group=("g",))
+    assert {(r.g, r.n): (r.types, r.tokens) for r in out.collect()} == {
+        ("a", 1): (3, 6), ("a", 2): (3, 5), (None, 1): (5, 5), (None, 2): (3, 3)}
+    # a block of many grams is a row of the shuffle
+    many = spark.createDataFrame([(" ".join("x" * (i + 1) for i in range(500)),)], "text string")
+    ttr = M.ttr(many, ns=(1, 2))
+    assert "_grams" in ttr._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in ttr.collect()) == [(1, 500, 500, 1.0), (2, 499, 499, 1.0)]
