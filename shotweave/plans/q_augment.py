@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from shotweave.operators.sample import few_shot_train, synthetic_quota
 from shotweave.plans.catalog import register
 from shotweave.plans.sqltext import (K, PROMPTS_SQL, QUOTA_SQL, SEEDS_SQL, UPSAMPLE_SQL, with_corpus)
 from shotweave.sources.corpus import corpus, load_table
+from shotweave.sources.tables import durable
 
 PROMPTS = with_corpus(SEEDS_SQL, PROMPTS_SQL)
 GEN = with_corpus(SEEDS_SQL, PROMPTS_SQL, QUOTA_SQL, UPSAMPLE_SQL)
@@ -178,12 +180,13 @@ def q_aug17(spark, sf):
 
 def echo(batch: pd.DataFrame) -> pd.DataFrame:
     """Built-in stand-in generator: request ``n`` texts, the prompt's seed lines in turn."""
-    out = []
-    for r in batch.itertuples(index=False):
-        seeds = [ln.split(": ", 1)[1] for ln in r.prompt.split("\n")[1:-1]]
-        for j in range(int(r.n)):
-            out.append((r.domain, r.intent, r.intent_id, r.prompt_id, r.req_idx, seeds[(r.req_idx * A.N_MAX + j) % len(seeds)]))
-    return pd.DataFrame(out, columns=[*A.REQUEST_KEY, "text"])
+    lines = {p: [ln.split(": ", 1)[1] for ln in p.split("\n")[1:-1]] for p in batch.prompt.unique()}
+    n = batch.n.to_numpy(np.int64)
+    at = np.repeat(np.arange(len(batch)), n)
+    place = batch.req_idx.to_numpy(np.int64)[at] * A.N_MAX + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    seeds = [lines[p] for p in batch.prompt]
+    text = [seeds[i][j % len(seeds[i])] for i, j in zip(at.tolist(), place.tolist(), strict=True)]
+    return batch[A.REQUEST_KEY].iloc[at].reset_index(drop=True).assign(text=text)
 
 
 def half_empty(batch: pd.DataFrame) -> pd.DataFrame:
@@ -208,6 +211,7 @@ def q_aug13q(spark, sf):
     """A generator that fails half its answers, asked until each prompt has its quota; the rows tell whether each text is a
     line of its prompt."""
     c, p = prompts_of(spark, sf)
+    p = durable(p, "prompts")  # the corpus is sampled once, not again for the lines
     asked = p.join(synthetic_quota(c).withColumnRenamed("val_domain", "domain"), "domain")
     got = A.complete_quota(asked, "quota", A.each_batch(half_empty), n_max=4)
     seeds = F.transform("lines", py_strip)

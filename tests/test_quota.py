@@ -35,3 +35,9 @@ def test_quota_of_one_domain_and_of_named_ones(spark):
     two = [*one, ("c", "e", 8)]
     assert quotas(spark, two, ["e", "absent"]) == {"e": 3, "absent": 5}
     assert quotas(spark, []) == {}
+
+
+def test_quota_query_samples_the_corpus_once(spark):
+    from shotweave.plans.q_augment import q_aug13q
+    out = q_aug13q(spark, "/root/testdata/sf0.001")
+    assert not any("/corpus-" in f for f in out.inputFiles())
