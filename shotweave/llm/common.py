@@ -8,6 +8,9 @@ over the bytes, computed for a whole batch with prefix sums.
 from __future__ import annotations
 
 import ctypes
+import gc
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,6 +26,8 @@ from shotweave.sources.tables import file_system
 
 #: Sides with at most this many rows (of a few longs each) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: The same for rows of names and labels, which are longer.
+FEW_ROWS = 100_000
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 1 << 19
 #: Bytes of rows in a batch that Spark hands to a task's Python, within ``small_batches``.
@@ -90,6 +95,11 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame
     return big.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A durable table of names and labels, broadcast to joins where its counted rows are few, else shuffled."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """Jobs run meanwhile hand rows to Python in batches of about ``BATCH_BYTES``: an executor's JVM and its Python workers
@@ -103,8 +113,17 @@ def small_batches(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def give_back() -> None:
-    """Returns memory that this worker has freed to the system: workers stay for the stages after, whose JVM needs it."""
+def worker_store(name: str) -> dict:
+    """What this Python worker keeps under ``name`` from task to task, until a task of another step gives it back."""
+    return sys.modules.setdefault(f"_shotweave_{name}", types.ModuleType(name)).__dict__.setdefault("kept", {})
+
+
+def give_back(keep: str | None = None) -> None:
+    """Returns memory that this worker has freed to the system: workers stay for the stages after, whose JVM needs it. What other
+    steps than ``keep`` have stored in the worker goes too."""
+    for name in [n for n in sys.modules if n.startswith("_shotweave_") and n != f"_shotweave_{keep}"]:
+        del sys.modules[name]
+    gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):

@@ -23,8 +23,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import zlib
 from collections import deque
 
@@ -34,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import chunks, give_back, mix64, span_hashes, text_buffer
+from shotweave.llm.common import chunks, give_back, mix64, span_hashes, text_buffer, worker_store
 
 SENTENCE, INSIDE = 4, 64  # penalties, in tokens
 WINDOW_COST = 256
@@ -213,8 +211,8 @@ def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _worker_encoder(tokenizer: str) -> PieceEncoder:
-    """The encoder of this Python worker, which keeps its pieces from task to task."""
-    store = sys.modules.setdefault("_piece_encoders", types.ModuleType("_piece_encoders")).__dict__
+    """The encoder of this Python worker, which keeps its pieces from task to task until another step's task runs here."""
+    store = worker_store("encoders")
     if tokenizer not in store:
         store[tokenizer] = PieceEncoder(tokenizer)
     return store[tokenizer]
@@ -328,6 +326,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, separator: int = 1)
                     yield flush()
         if held:
             yield flush()
-        give_back()
+        give_back("encoders")
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)

@@ -118,11 +118,14 @@ def frequencies(docs: DataFrame, each) -> np.ndarray:
         held, size, seen = [], 0, set()
 
         def look():
-            every = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            n = np.diff(np.r_[at, len(every)])
-            np.add.at(total, bucket(every[at[n > 1]]), n[n > 1])
-
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            edge = np.diff(np.r_[False, every[1:] == every[:-1], False].view(np.int8))  # of runs of equal items
+            begin = np.flatnonzero(edge == 1)
+            np.add.at(total, bucket(every[begin]), np.flatnonzero(edge == -1) - begin + 1)
+
+        give_back()  # what the steps before have left here
         for b in batches:
             for items in each(b.column("text")):
                 key = (len(items), int(items[:8].sum()), int(items[-8:].sum()))
@@ -135,12 +138,11 @@ def frequencies(docs: DataFrame, each) -> np.ndarray:
                 size += len(items)
                 if size >= COUNT_BLOCK:
                     look()
-                    held, size = [], 0
+                    size = 0
         if held:
             look()
         hot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(total[hot], pa.int64())], ["bucket", "c"])
-        held.clear()
         seen.clear()
         give_back()
 

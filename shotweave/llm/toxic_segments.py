@@ -204,6 +204,7 @@ def fit_segments(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000
 
     def run(batches):
         table, w, seen = shared.value
+        give_back()  # what the steps before have left here
         for b in batches:
             toxic = b.column("toxic").to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(b.column("text"))

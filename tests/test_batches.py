@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shotweave.llm import paragraphs, parity_join
-from shotweave.llm.common import chunks, small_batches
+from shotweave.llm import packing, paragraphs, parity_join
+from shotweave.llm.common import chunks, give_back, small_batches
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -40,3 +40,13 @@ def test_joins_of_texts_use_small_batches(spark, monkeypatch, module, step, run)
     words = " ".join(f"w{i}" for i in range(40))
     run(spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string")).collect()
     assert seen == [str(4 << 20)]
+
+
+def test_encoder_stays_for_packing_only(monkeypatch):
+    monkeypatch.setattr(packing, "PieceEncoder", lambda path: object())
+    first = packing._worker_encoder("a")
+    give_back("encoders")
+    assert packing._worker_encoder("a") is first
+    give_back()
+    assert packing._worker_encoder("a") is not first
+    give_back()
