@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import durable
+from shotweave.llm.common import BROADCAST_ROWS, FEW_ROWS, durable, few
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,12 +33,17 @@ def components(edges: DataFrame) -> DataFrame:
                    .where("a != b").distinct(), "edges")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                      .select("node", F.least("node", "m").alias("label")), "labels")
+    small = labels.count() <= FEW_ROWS
+
+    def side(rows):
+        return F.broadcast(rows) if small else rows
+
     while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+        near = (both.join(side(labels.select(F.col("node").alias("b"), "label")), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        low = near.join(side(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = durable(low.join(up, "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
+        new = durable(low.join(side(up), "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
         labels = new.select("node", "label")
         if not new.where("old != label").limit(1).count():
             return labels
@@ -50,12 +55,13 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     def of(end):
         return F.coalesce(f"l{end}", end).alias(end)
 
-    ends = (links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-            .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left"))
+    known = few(label)
+    ends = (links.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+            .join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left"))
     low = components(ends.select(of("a"), of("b")))
-    moved = (label.join(low.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    moved = (label.join(few(low).select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
              .select("node", F.coalesce("top", "label").alias("label")))
-    return durable(moved.unionByName(low.join(label, "node", "left_anti")), "labels")
+    return durable(moved.unionByName(low.join(known, "node", "left_anti")), "labels")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -108,7 +114,7 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
     """
     kind = tokens.schema["node"].dataType.simpleString()
     links = label = None
-    folds = durable(sketches.select("node", *[_every_fourth(i).alias(f"f{i}") for i in range(4)]), "folds")
+    folds = few(durable(sketches.select("node", *[_every_fourth(i).alias(f"f{i}") for i in range(4)]), "folds"))
 
     def check(pairs):
         nonlocal links, label
@@ -122,11 +128,11 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
 
     def open_rows(rows):
         """Rows of tokens whose nodes still lie in different components."""
-        own = rows if label is None else rows.join(label, "node", "left")
+        own = rows if label is None else rows.join(few(label), "node", "left")
         own = own.withColumn("comp", F.coalesce("label", "node") if label is not None else F.col("node"))
         own = durable(own.select("token", "node", "n", "score", "place", "comp"), "rows")
         some = own.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("token")
-        return own.join(some, "token")
+        return own.join(F.broadcast(some) if own.count() <= BROADCAST_ROWS else some, "token")
 
     def compare(rows):
         def side(end):
@@ -148,13 +154,13 @@ def linked_components(tokens: DataFrame, sketches: DataFrame, sets_of, percent:
         hubs = durable(rows.groupBy("token").agg(
             F.max(F.struct("score", "node", "n", "comp")).alias("mid"), F.min(F.struct("n", "node", "comp")).alias("low"),
             F.count("*").alias("m")), "hubs")
-        both = rows.join(hubs, "token")
+        both = rows.join(few(hubs), "token")
         check(both.select("node", "n", "comp", F.explode(F.array(
             F.struct("mid.node", "mid.n", "mid.comp"), F.struct("low.node", "low.n", "low.comp"))).alias("hub"))
             .where("comp != hub.comp").select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"),
                                               F.col("hub.n").alias("nb")))
         left = open_rows(both.where("node != low.node and node != mid.node").select("token", "node", "n", "score", "place"))
-        return durable(left.join(hubs.select("token", "m"), "token"), "open")
+        return durable(left.join(few(hubs.select("token", "m")), "token"), "open")
 
     score = tokens.groupBy("node").agg((F.count("*") / F.first("n")).alias("score"))
     left = stars(durable(open_rows(tokens.join(score, "node").withColumn("place", F.lit(0).cast("long"))), "open"))

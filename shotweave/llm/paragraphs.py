@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.llm.common import (BROADCAST_ROWS, chunks, durable, give_back, mix64, semi_join, shingles, signed, small_batches,
+from shotweave.llm.common import (BROADCAST_ROWS, chunks, durable, few, give_back, mix64, semi_join, shingles, signed, small_batches,
                                   text_buffer, word_hashes)
 from shotweave.llm.graph import linked_components
 from shotweave.llm.parity_join import SEEN, _lists, parity_sketch, set_keys, shared_tokens
@@ -237,12 +237,13 @@ def _paragraph_dedup(docs: DataFrame, min_words: int, shingle: int, percent: int
     shared = durable(shared_tokens(tokens).join(reps.select(F.col("k1").alias("k"), "node"), "k")
                      .select("token", "node", "n"), "shared")
     near = durable(shared.select("node").distinct(), "nodes")
-    named = reps.join(near, "node", "left_semi")
+    named = durable(reps.join(few(near), "node", "left_semi"), "named")
     sketches = durable(rows.where("size(sketch) > 0").select("k1", "k2", "sketch")
                        .join(named.select("k1", "k2", "node"), ["k1", "k2"])
                        .groupBy("node").agg(F.first("sketch").alias("sketch")), "parities")
 
     def sets_of(ids):
+        ids = few(ids)
         wanted = durable(named.join(ids, "node").select(F.col("at.doc_id").alias("doc_id")).distinct(), "wanted")
         return (paragraph_sets(semi_join(docs, wanted, "doc_id"), min_words, shingle)
                 .join(ids, "node", "left_semi").dropDuplicates(["node"]))
